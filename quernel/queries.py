@@ -1,0 +1,9 @@
+"""Registry of the core queries and their SQL."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
