@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import token_budget
-from quernel.session import table
+from quernel.llm import sentences, token_budget
+from quernel.session import bounded_rows, table
 
 SLICE = ["shard_id", "source", "lang"]
 
@@ -26,6 +26,20 @@ def p2_token_totals(spark: SparkSession, d: str) -> DataFrame:
     return token_budget.token_totals(table(spark, d, "documents"), _counter(spark, d), [*SLICE, "domain"])
 
 
+def _spaceless_words(spark: SparkSession, d: str) -> list[str]:
+    """The tokenizer's pieces in scripts without spaces; they extend the word lattice."""
+    pieces = table(spark, d, "token_vocab").select(F.trim("piece").alias("piece")).where(F.col("piece").rlike("^[\u0E00-\u0E7F]{2,}$"))
+    return [r.piece for r in bounded_rows(pieces, token_budget.MOST_PIECES, "the vocabulary")]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.prose_sentence_ends(table(spark, d, "documents"), _spaceless_words(spark, d))
+
+
+def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.prose_sentences(table(spark, d, "documents"), _spaceless_words(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
