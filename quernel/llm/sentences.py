@@ -42,7 +42,7 @@ ABBREVIATIONS = frozenset(
 TRAILING = frozenset("ltd inc co corp jr usw ff ud uds г гг п т.п д т.д р руб".split())
 #: Abbreviations that end a sentence unless a word of ``INSIDE`` follows.
 CLOSING = frozenset("etc a.m p.m am pm".split())
-INSIDE = frozenset("sharp on in and or the-same".split())
+INSIDE = frozenset(["sharp"])
 #: Words after a German ordinal.
 ORDINAL_HEADS = frozenset(
     "januar februar märz april mai juni juli august september oktober november dezember jahrhundert jahrhunderts"
