@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import leakage, sentences, token_budget
+from quernel.llm import leakage, licences, sentences, token_budget
 from quernel.session import bounded_rows, table
 
 SLICE = ["shard_id", "source", "lang"]
@@ -32,6 +32,10 @@ def _spaceless_words(spark: SparkSession, d: str) -> list[str]:
     return [r.piece for r in bounded_rows(pieces, token_budget.MOST_PIECES, "the vocabulary")]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return licences.findings(table(spark, d, "code_file"), table(spark, d, "repository"), table(spark, d, "license_ref"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
