@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import leakage, licences, sentences, token_budget
+from quernel.llm import leakage, licences, provenance, sentences, token_budget
 from quernel.session import bounded_rows, table
 
 SLICE = ["shard_id", "source", "lang"]
@@ -32,6 +32,15 @@ def _spaceless_words(spark: SparkSession, d: str) -> list[str]:
     return [r.piece for r in bounded_rows(pieces, token_budget.MOST_PIECES, "the vocabulary")]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_hand_written(table(spark, d, "code_file"), table(spark, d, "upstream_file"))
+
+
+def p3_hand_written(spark: SparkSession, d: str) -> DataFrame:
+    kept = provenance.hand_written(table(spark, d, "code_file"), table(spark, d, "upstream_file"))
+    return kept.groupBy(F.lower(F.trim("language")).alias("language")).agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return licences.findings(table(spark, d, "code_file"), table(spark, d, "repository"), table(spark, d, "license_ref"))
 
