@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import leakage, licences, provenance, sentences, token_budget
+from quernel.llm import leakage, licences, provenance, sentences, subjects, token_budget
 from quernel.session import bounded_rows, table
 
 SLICE = ["shard_id", "source", "lang"]
@@ -17,6 +17,19 @@ def _counter(spark: SparkSession, d: str):
     return token_budget.vocabulary_counter(table(spark, d, "token_vocab"))
 
 
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
+    rows, areas, labels = (table(spark, d, t) for t in ("stage2_stream_dataset", "subject_area", "subject_label"))
+    return subjects.assigned_subjects(rows, areas, labels)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _assigned(spark, d).select("row_id", "subject")
+
+
+def p1_subject_mix(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_mix(_assigned(spark, d), table(spark, d, "stage2_stream_dataset"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     totals = token_budget.token_totals(table(spark, d, "documents"), _counter(spark, d), SLICE)
     return token_budget.misreported_slices(table(spark, d, "shard_source"), totals)
