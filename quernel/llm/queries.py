@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import leakage, licences, provenance, sentences, subjects, token_budget
-from quernel.session import bounded_rows, table
+from quernel.llm import leakage, licences, mixing, provenance, sentences, subjects, token_budget
+from quernel.session import bounded_rows, checkpointed, table
 
 SLICE = ["shard_id", "source", "lang"]
 
@@ -58,6 +58,28 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return licences.findings(table(spark, d, "code_file"), table(spark, d, "repository"), table(spark, d, "license_ref"))
 
 
+def _sized(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Documents with their tokens, without their texts; counted once."""
+    docs = table(spark, d, "documents").select("doc_id", *columns, "text")
+    return checkpointed(token_budget.with_token_counts(docs, _counter(spark, d)).drop("text"))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.schedule(table(spark, d, "shard_source"), table(spark, d, "token_shard"), _sized(spark, d, *SLICE))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.short_slices(mixing.mix_report(*_mix(spark, d)))
+
+
+def p5_mix_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(*_mix(spark, d))
+
+
+def p5_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d)[1]
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
