@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernel.llm import leakage, licences, mixing, provenance, sentences, subjects, token_budget
+from quernel.llm import leakage, licences, mixing, packing, provenance, sentences, subjects, token_budget
 from quernel.session import bounded_rows, checkpointed, table
 
 SLICE = ["shard_id", "source", "lang"]
@@ -80,6 +80,14 @@ def p5_schedule(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(_sized(spark, d), table(spark, d, "window_spec"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p6_packing(spark, d), table(spark, d, "window_spec"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
