@@ -34,6 +34,8 @@ LEAST_SCORE, ROUNDS = 0.7, 2
 #: A leaf's discriminative terms occur in it so many times as often as elsewhere.
 LIFT = 3.0
 MOST_SUBJECTS = 10_000
+#: A vocabulary up to this is broadcast to the term counts, a larger one is joined by shuffle.
+MOST_BROADCAST = 100_000
 
 _TAG = re.compile(r"<\|[^|<>]*\|>|</?[a-z]+(?::\w+)?/?>", re.I)
 _TERM = re.compile(r"[^\W\d_]{2,}|\d+|[^\w\s,.'\"“”«»„!?;:()’–—-]")
@@ -172,10 +174,18 @@ def assigned_subjects(texts: DataFrame, areas: DataFrame, labels: DataFrame, gen
     sizes = {r.lang: r["count"] for r in base.groupBy("lang").count().collect()}
     held = base.select("row_id", "lang", F.explode(F.array_distinct("words")).alias("term"))
     least = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, float(max(LEAST_ROWS, LEAST_FREQUENCY * n)))])
-    spread = held.groupBy("lang", "term").count().where(F.col("count") >= least[F.col("lang")])
+    spread = checkpointed(held.groupBy("lang", "term").count().where(F.col("count") >= least[F.col("lang")]).select("lang", "term"))
     vocabulary: dict[str, list[str]] = {lang: [] for lang in sizes}
-    for lang, term in sorted((r.lang, r.term) for r in spread.select("lang", "term").collect()):
+    for lang, term in sorted(zip(*spread.toArrow().to_pydict().values())):
         vocabulary[lang].append(term)
+    if sum(map(len, vocabulary.values())) <= MOST_BROADCAST:
+        spread = F.broadcast(spread)
+
+    def counted_terms(rows: DataFrame, column: str) -> pd.DataFrame:
+        """(lang, column, term, n) over the vocabulary only; names and other rare terms stay on the executors."""
+        counted = rows.join(spread, ["lang", "term"]).groupBy("lang", column, "term").agg(F.count(F.lit(1)).alias("n"))
+        return counted.toArrow().to_pandas(strings_to_categorical=True)
+
 
     clustered = None
     tf = HashingTF(numFeatures=DIMENSIONS, inputCol="words", outputCol="tf").transform(base.select("lang", "words"))
@@ -190,8 +200,8 @@ def assigned_subjects(texts: DataFrame, areas: DataFrame, labels: DataFrame, gen
             vectors = vectors.withColumn("leaf", F.lit(0))
         part = vectors.select("lang", "leaf", F.explode(F.array_distinct("words")).alias("term"))
         clustered = part if clustered is None else clustered.unionByName(part)
-    in_leaf = clustered.groupBy("lang", "leaf", "term").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    labelled = held.join(labels.select("row_id", "subject").distinct(), "row_id").groupBy("lang", "subject", "term").agg(F.count(F.lit(1)).alias("n")).toPandas()
+    in_leaf = counted_terms(clustered, "leaf")
+    labelled = counted_terms(held.join(labels.select("row_id", "subject").distinct(), "row_id"), "subject")
 
     models: dict[str, TermModel] = {}
     for lang, terms_of in vocabulary.items():
@@ -222,7 +232,7 @@ def assigned_subjects(texts: DataFrame, areas: DataFrame, labels: DataFrame, gen
                             total.update((lang, s, t) for t in found)
             yield pd.DataFrame({"lang": [k[0] for k in total], "s": [k[1] for k in total], "term": [k[2] for k in total], "n": list(total.values())}, columns=["lang", "s", "term", "n"])
 
-        again = base.select("lang", "units").mapInPandas(counted, "lang string, s int, term string, n long").groupBy("lang", "s", "term").agg(F.sum("n").alias("n")).toPandas()
+        again = base.select("lang", "units").mapInPandas(counted, "lang string, s int, term string, n long").groupBy("lang", "s", "term").agg(F.sum("n").alias("n")).toArrow().to_pandas(strings_to_categorical=True)
         for lang, terms_of in vocabulary.items():
             counts = _matrix(again[again["lang"] == lang], "s", list(range(len(subjects))), models[lang].index)
             models[lang] = TermModel(terms_of, subjects, counts, general)
