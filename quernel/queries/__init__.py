@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "sampling", "composing")
+MODULES = ("corpus", "sampling", "composing", "tokens", "evaluation")
 
 
 def _registry() -> dict:
