@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("corpus", "sampling", "composing", "tokens", "evaluation")
+MODULES = ("corpus", "sampling", "composing", "tokens", "evaluation", "vectors", "results", "relational", "streams")
 
 
 def _registry() -> dict:

@@ -123,10 +123,11 @@ QUERIES = {
         f"SELECT shard_id, run, max(domain) AS domain, count(*) AS n_docs FROM ({CONTROLS}) GROUP BY ALL",
     ),
     "w14_prefix_pooling": (
-        lambda s, d: (lambda x: x.groupBy("run_id", "chunk").agg(F.sum("loss").alias("t"), F.count("loss").alias("n")).select(
-            "run_id", "chunk", F.round(F.sum("t").over(Window.partitionBy("run_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)) / F.sum("n").over(Window.partitionBy("run_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), 6).alias("pooled")
-        ))(table(s, d, "history").distinct().withColumn("chunk", F.floor(F.col("step") / 500))),
-        """SELECT run_id, chunk, round(sum(t) OVER w / sum(n) OVER w, 6) AS pooled FROM (SELECT run_id, CAST(step // 500 AS BIGINT) AS chunk, sum(loss) AS t, count(loss) AS n FROM (SELECT DISTINCT * FROM history) GROUP BY ALL)
+        lambda s, d: (lambda x, w: x.select("run_id", "chunk", F.sum("t").over(w).alias("pooled_sum"), F.sum("n").over(w).alias("n")))(
+            table(s, d, "history").distinct().groupBy("run_id", F.floor(F.col("step") / 500).alias("chunk")).agg(F.sum(F.round(F.col("loss") * 100_000).cast("long")).alias("t"), F.count("loss").alias("n")),
+            Window.partitionBy("run_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1),
+        ),
+        """SELECT run_id, chunk, CAST(sum(t) OVER w AS BIGINT) AS pooled_sum, CAST(sum(n) OVER w AS BIGINT) AS n FROM (SELECT run_id, CAST(step // 500 AS BIGINT) AS chunk, sum(CAST(round(loss * 100000) AS BIGINT)) AS t, count(loss) AS n FROM (SELECT DISTINCT * FROM history) GROUP BY ALL)
         WINDOW w AS (PARTITION BY run_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     ),
     "o1_seeded_shuffle": (

@@ -29,18 +29,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is configured (tests on one
-    machine) is a local one made.
+    Only where none is configured (tests on one machine) is a local one taken.
     """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return configured or os.path.join(tempfile.gettempdir(), "quernel-checkpoints")
+
+
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
+    """``df`` written to the cluster's shared checkpoint folder, its lineage cut."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "quernel-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
 
 
