@@ -19,8 +19,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """The cosine of two arrays of doubles."""
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """The cosine of two arrays of doubles; null where one is zero."""
+    return dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, other_label: bool = True) -> DataFrame:
@@ -61,7 +61,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, other_label: bool =
                         top = np.lexsort((all_ids, -all_sims))[:k]
                         best[q] = all_ids[top], all_sims[top]
             out = [(int(q), int(o), float(c)) for q, (os, cs) in zip(q_ids, best) for o, c in zip(os, cs)]
-            yield pd.DataFrame(out, columns=["vec_id", "other_id", "cosine"])
+            if out:
+                yield pd.DataFrame(out, columns=["vec_id", "other_id", "cosine"])
 
         part = vectors.where("embedding is not null").select("vec_id", "label", "embedding").mapInPandas(scan, "vec_id long, other_id long, cosine double")
         found = part if found is None else found.unionByName(part)

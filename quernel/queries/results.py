@@ -44,7 +44,7 @@ def bootstrap(s, d, draws=200):
     c = clean(s, d).select("arm", "run_id", "step", "loss", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     u = H.uniform("boot", F.col("draw"), F.col("run_id"), F.col("arm"), F.col("step"))
     w = F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).otherwise(3)
-    means = c.withColumn("w", w).groupBy("arm", "draw").agg((F.sum(F.col("w") * F.col("loss")) / F.sum("w")).alias("m"))
+    means = c.withColumn("w", w).groupBy("arm", "draw").agg((F.sum(F.col("w") * F.col("loss")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     return means.groupBy("arm").agg(F.round(F.percentile("m", 0.025), 4).alias("low"), F.round(F.percentile("m", 0.975), 4).alias("high"))
 
 

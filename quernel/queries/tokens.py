@@ -92,8 +92,8 @@ QUERIES = {
     "a10_pooled_bytes_per_token": (lambda s, d: bytes_per_token(s, d, True), f"SELECT round(sum(b)::DOUBLE / sum(t), 6) AS bytes_per_token, count(*) AS n_docs FROM ({FIRST})"),
     "a12_blend_provenance": (
         lambda s, d: table(s, d, "shard_source").groupBy("shard_id", "source").agg(F.round(F.sum("target_weight"), 6).alias("target_weight"), F.sum(F.coalesce("actual_tokens", F.lit(0.0))).alias("actual_tokens"))
-        .withColumn("actual_fraction", F.round(F.col("actual_tokens") / F.sum("actual_tokens").over(Window.partitionBy("shard_id")), 6)),
-        """SELECT shard_id, source, round(sum(target_weight), 6) AS target_weight, sum(coalesce(actual_tokens, 0))::DOUBLE AS actual_tokens, round(sum(coalesce(actual_tokens, 0)) / sum(sum(coalesce(actual_tokens, 0))) OVER (PARTITION BY shard_id), 6)::DOUBLE AS actual_fraction
+        .withColumn("actual_fraction", F.round(F.col("actual_tokens") / F.nullif(F.sum("actual_tokens").over(Window.partitionBy("shard_id")), F.lit(0.0)), 6)),
+        """SELECT shard_id, source, round(sum(target_weight), 6) AS target_weight, sum(coalesce(actual_tokens, 0))::DOUBLE AS actual_tokens, round(sum(coalesce(actual_tokens, 0)) / nullif(sum(sum(coalesce(actual_tokens, 0))) OVER (PARTITION BY shard_id), 0), 6)::DOUBLE AS actual_fraction
         FROM shard_source GROUP BY shard_id, source""",
     ),
     "k4_token_budget": (

@@ -78,7 +78,8 @@ def packer(size: int) -> Callable:
                 while len(buffer) >= size:
                     out.append((*key, made, buffer[:size]))
                     buffer, made = buffer[size:], made + 1
-            yield pd.DataFrame(out, columns=["stream", "chunk_id", "items"])
+            if out:
+                yield pd.DataFrame(out, columns=["stream", "chunk_id", "items"])
         state.update((buffer, made))
 
     return pack
