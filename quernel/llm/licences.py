@@ -6,7 +6,7 @@ fields, from phrases that declare ("SPDX-License-Identifier:", "Licensed under .
 Wording is located with a generalized suffix automaton of all templates: one walk over a text's words gives
 its maximal exact matches, those in order are chained per template over reworded gaps, and a chain counts
 only if it covers enough of its template. Where sibling templates share wording, the chain with more of the
-text wins; a stretch that fits two of them equally well says nothing and is rejected.
+text wins; a stretch that fits another template as well, however little of that it covers, is rejected.
 """
 
 from __future__ import annotations
@@ -141,13 +141,10 @@ class TemplateAutomaton:
         found.sort(key=lambda x: (-x[4], -x[3], x[0]))
         kept: list[tuple[str, int, int, float, int]] = []
         for x in found:
-            over = [y for y in kept if x[1] < y[2] and y[1] < x[2]]
-            if not over:
+            if not any(x[1] < y[2] and y[1] < x[2] for y in kept):
                 kept.append(x)
-            elif any(y[0] != x[0] and y[4] == x[4] for y in over):
-                kept.append(x)  # as good as a sibling: both are marked and fall below
-        unsure = {i for i, x in enumerate(kept) for j, y in enumerate(kept) if i != j and x[0] != y[0] and x[1] < y[2] and y[1] < x[2]}
-        return [x[:4] for i, x in enumerate(kept) if i not in unsure]
+        rivals = [(key, c[0], c[1], c[3]) for key, mine in chains.items() for c in mine]
+        return [x[:4] for x in kept if not any(r[0] != x[0] and r[3] >= x[4] and r[1] < x[2] and x[1] < r[2] for r in rivals)]
 
 
 def _id(m: re.Match) -> str:

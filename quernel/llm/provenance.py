@@ -1,9 +1,9 @@
 """Generated, minified, vendored and data files among source files (problem 3).
 
 Some files say what they are, in a header notice or in where they lie (``gen/``, ``x.min.js``,
-``third_party/lib/``). These are the labels, and both are hidden from the features: notices are comments,
-and every feature but the comment density is computed on the code without its comments; paths are no
-feature. A random forest is trained twice on compression ratio, token entropy, identifier lengths, comment
+``third_party/lib/``). These are the labels, and both are hidden from the features: notices are taken out before
+anything is measured, every feature but the comment density is computed on the code without its comments,
+and paths are no feature. A random forest is trained twice on compression ratio, token entropy, identifier lengths, comment
 density and the like: the first forest tells which files without a label look like labelled ones, and the
 second is trained without those, as they aren't known to be hand-written. Labelled files are cases; other
 files are cases where the second forest says so.
@@ -79,8 +79,9 @@ def bare(code: str) -> str:
 
 
 def features(code: str, upstream: frozenset[int]) -> list[float]:
-    """The values of ``FEATURES`` for one file."""
-    body = bare(code)
+    """The values of ``FEATURES`` for one file, its notices taken out first."""
+    code = _COMMENT.sub(lambda m: "" if NOTICES.search(m.group()) else m.group(), code).strip()
+    body = bare(code).strip()
     kept = body if body.strip() else code
     size = max(1, len(kept))
     raw = kept.encode("utf-8", "replace")
@@ -107,7 +108,7 @@ def features(code: str, upstream: frozenset[int]) -> list[float]:
         math.log1p(sum(map(len, lines)) / len(lines)),
         math.log1p(max(map(len, lines))),
         1 - len(shapes) / len(lines),
-        1 - len(stems) / max(1, len(distinct)),
+        1 - len(stems) / len(distinct) if distinct else 0.0,
         sum(w[0].isdigit() for w in words) / total,
         math.log1p(max(map(len, words), default=0)),
         len(runs & upstream) / max(1, len(runs)),
@@ -138,7 +139,7 @@ def judged(files: DataFrame, upstream: DataFrame) -> DataFrame:
         said = [notice(c) or bool(p and PATHS.search(p)) for c, p in zip(codes, paths)]
         return pd.DataFrame({"said": said, "features": [features(c, known.value) for c in codes]})
 
-    seen = files.where("code is not null").select("file_id", F.trim("code").eqNullSafe("").alias("blank"), look("code", "path").alias("l"))
+    seen = files.where("code is not null").select("file_id", (~F.col("code").rlike(r"\S")).alias("blank"), look("code", "path").alias("l"))
     base = checkpointed(
         seen.select("file_id", "blank", F.col("l.said").alias("labelled"), F.col("l.said").cast("double").alias("label"), array_to_vector("l.features").alias("features"))
     )
@@ -149,8 +150,8 @@ def judged(files: DataFrame, upstream: DataFrame) -> DataFrame:
     positive, negative = _sample(base, 1.0), _sample(base, 0.0)
     first = forest.fit(positive.unionByName(negative))
     share = positive.count() / max(1, positive.count() + negative.count())
-    doubtful = first.transform(negative).where(score <= max(0.5 * share, 0.12)).select(negative.columns)
-    second = forest.fit(positive.unionByName(doubtful))
+    trusted = first.transform(negative).where(score <= max(0.5 * share, 0.12)).select(negative.columns)
+    second = first if trusted.isEmpty() else forest.fit(positive.unionByName(trusted))
     return second.transform(base).select("file_id", "labelled", F.when(F.col("blank"), 0.0).otherwise(score).alias("score"))
 
 

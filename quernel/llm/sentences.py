@@ -115,12 +115,14 @@ class Splitter:
         self.thai = WordLattice({w for w in spaceless if _THAI.match(w)} | THAI_FINALS | THAI_GOES_ON)
         self.han = WordLattice(HAN_ATTRIBUTING)
         self.kana = WordLattice(KANA_GOES_ON)
+        self._quotes = (-1, 0, 0)
 
     def ends(self, text: str | None) -> list[int]:
         if not text or text.isspace():
             return []
         lowered = text == text.lower()
         found: list[int] = []
+        self._quotes = (-1, 0, 0)
         start = 0
         for blank in _BLANK_LINE.finditer(text):
             self._lines(text, start, blank.start(), lowered, found)
@@ -188,7 +190,7 @@ class Splitter:
         mark = text[at:bare]
         if not text[end].isspace() and end > bare:  # no space behind: a quote may open the next sentence
             last = text[end - 1]
-            if last == "“" or last == '"' and text.count('"', start, end - 1) % 2 == 0:
+            if last == "“" or last == '"' and self._even_quotes(text, start, end - 1):
                 end -= 1
         glued = not text[end].isspace()
         to = _NEXT.match(text, end, stop).end()
@@ -233,15 +235,24 @@ class Splitter:
                 return end, -1
         return end, 2
 
+    def _even_quotes(self, text: str, start: int, end: int) -> bool:
+        """Whether an even number of straight quotes lies between a block's start and ``end``; asked left to right."""
+        block, at, count = self._quotes
+        if block != start or at > end:
+            at, count = start, 0
+        count += text.count('"', at, end)
+        self._quotes = (start, end, count)
+        return count % 2 == 0
+
     # Thai
 
     def _thai(self, text: str, start: int, stop: int) -> list[int]:
         ends = []
-        formula = False
+        signs, counted = 0, start
         for gap in _THAI_GAP.finditer(text, start, stop):
             left, right = gap.start(), gap.end()
-            formula = text.count("$", start, left) % 2 == 1
-            if formula or text[right] in "$\\,)" or text[left - 1] in "$,(":
+            signs, counted = signs + text.count("$", counted, left), left
+            if signs % 2 or text[right] in "$\\,)" or text[left - 1] in "$,(":
                 continue
             after = text[right : right + 24]
             if after[0].isdigit() or re.match(_EMOJI, after):

@@ -158,7 +158,7 @@ def assigned_subjects(texts: DataFrame, areas: DataFrame, labels: DataFrame, gen
     Labels of unknown rows or subjects are ignored, and a few wrong ones are outvoted.
     """
     from pyspark.ml.clustering import BisectingKMeans
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, VectorAssembler
 
     subjects = sorted({r.subject for r in bounded_rows(areas.select("subject").where("subject is not null"), MOST_SUBJECTS, "the subjects")} | {general})
 
@@ -172,6 +172,8 @@ def assigned_subjects(texts: DataFrame, areas: DataFrame, labels: DataFrame, gen
     kept = kept.where(F.size("units") > 0).withColumn("words", F.split(F.array_join("units", " "), " "))
     base = checkpointed(_languages(checkpointed(kept)))
     sizes = {r.lang: r["count"] for r in base.groupBy("lang").count().collect()}
+    if not sizes:
+        return base.select("row_id", F.lit(general).alias("subject"), F.lit(1.0).alias("share"))
     held = base.select("row_id", "lang", F.explode(F.array_distinct("words")).alias("term"))
     least = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, float(max(LEAST_ROWS, LEAST_FREQUENCY * n)))])
     spread = checkpointed(held.groupBy("lang", "term").count().where(F.col("count") >= least[F.col("lang")]).select("lang", "term"))
@@ -192,7 +194,9 @@ def assigned_subjects(texts: DataFrame, areas: DataFrame, labels: DataFrame, gen
     for lang, n in sorted(sizes.items()):
         own = tf.where(F.col("lang") == lang)
         weighted = IDF(inputCol="tf", outputCol="w", minDocFreq=2).fit(own).transform(own)
-        vectors = Normalizer(inputCol="w", outputCol="features").transform(weighted)
+        # A row of nothing but common words has no weight at all; the constant gives it a direction.
+        sided = VectorAssembler(inputCols=["w", "side"], outputCol="v").transform(weighted.withColumn("side", F.lit(1e-3)))
+        vectors = Normalizer(inputCol="v", outputCol="features").transform(sided)
         if n >= 24:
             clusters = BisectingKMeans(k=min(LEAVES, n // 12), maxIter=ITERATIONS, seed=SEED, distanceMeasure="cosine", predictionCol="leaf")
             vectors = clusters.fit(vectors.select("features")).transform(vectors)
@@ -230,7 +234,8 @@ def assigned_subjects(texts: DataFrame, areas: DataFrame, labels: DataFrame, gen
                         s, sure = model.assign(found)
                         if sure:
                             total.update((lang, s, t) for t in found)
-            yield pd.DataFrame({"lang": [k[0] for k in total], "s": [k[1] for k in total], "term": [k[2] for k in total], "n": list(total.values())}, columns=["lang", "s", "term", "n"])
+            if total:
+                yield pd.DataFrame({"lang": [k[0] for k in total], "s": [k[1] for k in total], "term": [k[2] for k in total], "n": list(total.values())}, columns=["lang", "s", "term", "n"])
 
         again = base.select("lang", "units").mapInPandas(counted, "lang string, s int, term string, n long").groupBy("lang", "s", "term").agg(F.sum("n").alias("n")).toArrow().to_pandas(strings_to_categorical=True)
         for lang, terms_of in vocabulary.items():
