@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,12 @@ def _counter(spark: SparkSession, d: str):
     return token_budget.vocabulary_counter(table(spark, d, "token_vocab"))
 
 
+#: Where the public tokenizer lies whose merges p2_bpe_totals counts with; the query is there if the file is.
+TOKENIZER = os.environ.get("QUERNEL_BPE_RANKS", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+#: Fixed value: how that tokenizer cuts a text before merging.
+TOKENIZER_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
     rows, areas, labels = (table(spark, d, t) for t in ("stage2_stream_dataset", "subject_area", "subject_label"))
     return subjects.assigned_subjects(rows, areas, labels)
@@ -45,6 +52,11 @@ def _spaceless_words(spark: SparkSession, d: str) -> list[str]:
     return [r.piece for r in bounded_rows(pieces, token_budget.MOST_PIECES, "the vocabulary")]
 
 
+def p2_bpe_totals(spark: SparkSession, d: str) -> DataFrame:
+    counter = token_budget.bpe_counter(spark, TOKENIZER, TOKENIZER_PATTERN)
+    return token_budget.token_totals(table(spark, d, "documents"), counter, ["source", "lang", "domain"])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return provenance.not_hand_written(table(spark, d, "code_file"), table(spark, d, "upstream_file"))
 
@@ -104,9 +116,32 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentences.prose_sentences(table(spark, d, "documents"), _spaceless_words(spark, d))
 
 
+#: Tokens of every distinct piece by longest match, and of every document from them.
+_TOKENS = f"""WITH RECURSIVE docs AS (SELECT doc_id, shard_id, source, lang, domain, regexp_extract_all(coalesce(text, ''), '{token_budget.PRE_SPLIT}') AS ps FROM documents),
+    pieces AS (SELECT DISTINCT unnest(ps) AS p FROM docs),
+    cut AS (SELECT p, p AS rest, CAST(0 AS BIGINT) AS n FROM pieces UNION ALL
+        SELECT p, substring(rest, greatest(l, 1) + 1) AS rest, n + CASE WHEN l > 0 THEN 1 ELSE octet_length(encode(substring(rest, 1, 1))) END AS n FROM (
+            SELECT p, any_value(rest) AS rest, any_value(n) AS n, max(coalesce(length(v.piece), 0)) AS l FROM (SELECT p, rest, n, unnest(range(1, 17)) AS k FROM cut WHERE rest <> '') c LEFT JOIN (SELECT DISTINCT piece FROM token_vocab) v ON v.piece = substring(c.rest, 1, c.k) GROUP BY p)),
+    counts AS (SELECT p, n FROM cut WHERE rest = ''),
+    tokens AS (SELECT d.doc_id, d.shard_id, d.source, d.lang, d.domain, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM docs d LEFT JOIN (SELECT doc_id, unnest(ps) AS p FROM docs) e ON d.doc_id = e.doc_id LEFT JOIN counts c ON e.p = c.p GROUP BY ALL)"""
+_SLICES = "(SELECT shard_id, source, lang, sum(n) AS n FROM tokens GROUP BY ALL) t ON s.shard_id = t.shard_id AND s.source = t.source AND s.lang = t.lang"
+
+SQL = {
+    "p2_found": f"{_TOKENS} SELECT DISTINCT s.shard_id, s.source, s.lang FROM shard_source s LEFT JOIN {_SLICES} WHERE abs(actual_tokens - coalesce(n, 0)) > 0.15 * coalesce(n, 0)",
+    "p2_token_totals": f"{_TOKENS} SELECT shard_id, source, lang, domain, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM tokens GROUP BY ALL",
+    "p5_found": f"""{_TOKENS} SELECT DISTINCT s.shard_id, s.source, s.lang FROM shard_source s LEFT JOIN {_SLICES} JOIN token_shard x ON s.shard_id = x.shard_id
+        WHERE coalesce(n, 0) * max_repeats < target_weight * target_tokens""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
+    """The functions named after the problems, in the order of their names' definition."""
+    found = {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
+    if not os.path.exists(TOKENIZER):
+        del found["p2_bpe_totals"]
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the problems that SQL can state at a cost that whole tables allow."""
+    return dict(SQL)
