@@ -31,14 +31,15 @@ def balanced(df: DataFrame, size: str, group: str, side: str, key: str, seed: st
     return summed.where("__before < __target").drop("__hash", "__before", "__target")
 
 
-def round_robin(df: DataFrame, stream: str, stream_order: str, order: str) -> DataFrame:
+def round_robin(df: DataFrame, stream: str, stream_order: str, order: str, bucket: Column | None = None) -> DataFrame:
     """``df`` with ``turn`` (each stream's own count) and the global place ``seq`` of the interleaving.
 
-    A stream that is exhausted drops out. The place needs no global sort: it is the number of rows of
+    A stream that is exhausted drops out. ``bucket``, ascending with ``order``, splits a long stream's count. The place needs no global sort: it is the number of rows of
     earlier turns, known from the streams' lengths, plus those of the same turn and earlier streams.
     """
-    w = Window.partitionBy(stream).orderBy(order)
-    turned = df.withColumn("turn", F.row_number().over(w).cast("long"))
+    ones = df.withColumn("__one", F.lit(1))
+    counted = prefix_sum(ones, [stream], [F.col(order)], "__one", "__before", F.lit(0) if bucket is None else bucket)
+    turned = counted.withColumn("turn", (F.col("__before") + 1).cast("long")).drop("__one", "__before")
     lengths = df.groupBy(stream).agg(F.count(F.lit(1)).alias("n"), F.first(stream_order).alias("o"))
     plan = lengths.agg(F.collect_list(F.struct("n", "o")).alias("plan"))  # one entry per stream
     placed = turned.crossJoin(F.broadcast(plan))

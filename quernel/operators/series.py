@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernel.plans.scan import neighbour
+
 
 def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, half: int, out: str) -> DataFrame:
     """``out``: the centred mean over ``half`` rows on each side, fewer at the ends."""
@@ -68,8 +70,8 @@ def controlled(df: DataFrame, keys: list[str], order: list[str], value: str, pat
 
 
 def gaps(df: DataFrame, keys: list[str], ts: str, seconds: int) -> DataFrame:
-    """(keys, ts, gap_s): rows that come more than ``seconds`` after the one before them."""
-    w = Window.partitionBy(*keys).orderBy(ts)
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    gap = at - F.lag(at).over(w)
-    return df.select(*keys, ts, gap.alias("__gap")).where(F.col("__gap") > seconds * 1_000_000).select(*keys, ts, F.round(F.col("__gap") / 1e6, 3).alias("gap_s"))
+    """(keys, ts, gap_s): rows that come more than ``seconds`` after the one before them; a key's days are scanned apart."""
+    timed = df.select(*keys, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"))
+    day = F.floor(F.col("__at") / 86_400_000_000).cast("int")
+    told = neighbour(timed, keys, [F.col("__at")], "__at", "__before", day).withColumn("__gap", F.col("__at") - F.col("__before"))
+    return told.where(F.col("__gap") > seconds * 1_000_000).select(*keys, ts, F.round(F.col("__gap") / 1e6, 3).alias("gap_s"))

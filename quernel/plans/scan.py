@@ -25,3 +25,23 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
         same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
     joined = local.alias("l").join(before.alias("r"), same, "left")
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l.__local") + F.coalesce(F.col("r.__before"), F.lit(0))).alias(out))
+
+
+def neighbour(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str, bucket: Column, ahead: bool = False) -> DataFrame:
+    """``df`` with ``out``, the ``value`` of the row before each row of the same ``keys`` (after it, if ``ahead``).
+
+    ``order`` must start with ``bucket``, as in ``prefix_sum``: neighbours are found inside buckets, and the
+    bucket's edge gets its neighbour from a list of the key's buckets. First (last) rows get null.
+    """
+    spread = df.withColumn("__b", bucket)
+    step, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    inside = Window.partitionBy(*keys, "__b").orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy("__b")
+    near = spread.withColumn("__near", step(F.struct(value)).over(inside))
+    ends = spread.groupBy(*keys, "__b").agg(edge(F.struct(value), F.struct(*order)).alias("__end"))
+    border = ends.withColumn("__over", step("__end").over(across)).drop("__end")
+    same = F.lit(True)
+    for key in [*keys, "__b"]:
+        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+    joined = near.alias("l").join(border.alias("r"), same, "left")
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], F.coalesce(F.col("l.__near"), F.col("r.__over"))[value].alias(out))

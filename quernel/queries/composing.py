@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quernel.functions import text as T
+from quernel.functions.ordering import hash_ranked
 from quernel.operators import compose as M
 from quernel.operators import packing as P
 from quernel.operators import sampling as S
@@ -58,7 +59,7 @@ def packed_single(s, d, size=257):
 
 def packed_mixed(s, d, size=257):
     dim = F.broadcast(table(s, d, "domain_dim").select("domain", "domain_index").limit(1000))
-    turns = S.round_robin(usable(s, d).join(dim, "domain").select("domain", "domain_index", "doc_id", T.words(F.col("text")).alias("items")), "domain", "domain_index", "doc_id")
+    turns = S.round_robin(usable(s, d).join(dim, "domain").select("domain", "domain_index", "doc_id", T.words(F.col("text")).alias("items")), "domain", "domain_index", "doc_id", F.floor(F.col("doc_id") / 4096).cast("int"))
     out = P.packed(turns.withColumn("all", F.lit("mixed")), ["all"], F.col("seq"), "items", size, F.floor(F.col("seq") / 1024).cast("int"))
     return out.select("chunk_id", F.md5(F.array_join("items", " ")).alias("digest"))
 
@@ -94,7 +95,68 @@ SINGLE = f"SELECT source, doc_id AS o, unnest(regexp_extract_all(text, '\\S+'))
 MIXED = f"""SELECT unnest(regexp_extract_all(text, '\\S+')) AS w, unnest(range(len(regexp_extract_all(text, '\\S+')))) AS k, turn * 1000 + domain_index AS o FROM (SELECT text, domain_index, row_number() OVER (PARTITION BY domain ORDER BY doc_id) AS turn
     FROM documents JOIN domain_dim USING (domain) WHERE {USABLE})"""
 
+def encoded(s, d, most=60):
+    """Composed documents as control tokens and words, spans cut at ``most`` words, documents at ``3 * most + 1`` items."""
+    dim = F.broadcast(table(s, d, "domain_dim").select("domain", "domain_index").limit(1000))
+    items = M.parsed_spans(documents(s, d), "mix_id").join(dim, "domain")
+    spans_ = items.select("mix_id", "span_pos", P.routed_items(F.concat(F.lit("<"), F.col("domain"), F.lit(">")), F.slice(T.words(F.col("body")), 1, most), F.col("domain"), F.col("domain_index")).alias("items"))
+    whole = spans_.groupBy("mix_id").agg(F.sort_array(F.collect_list(F.struct("span_pos", "items"))).alias("xs")).select("mix_id", F.slice(F.flatten(F.transform("xs", lambda x: x["items"])), 1, 3 * most + 1).alias("items"))
+    return whole.select("mix_id", F.size("items").cast("long").alias("n"), F.md5(F.array_join(F.transform("items", lambda x: x["token"]), " ")).alias("digest"))
+
+
+def natural(s, d, size=257):
+    """Windows of one domain recast as routed windows without control tokens: input, next token, domain."""
+    dim = F.broadcast(table(s, d, "domain_dim").select("domain", "domain_index").limit(1000))
+    docs = words_by_source(s, d).join(dim, "domain")
+    windows = P.packed(docs, ["domain_index"], F.col("doc_id"), "items", size, F.floor(F.col("doc_id") / 1024).cast("int"))
+    told = P.with_targets(windows, "items", lambda x, y: y)
+    return told.select("domain_index", "chunk_id", F.md5(F.array_join("targets", " ")).alias("digest"))
+
+
+def labelled_windows(s, d, size=65):
+    """Windows per register label of the stream's rows, each label's text cut its own way."""
+    rows = table(s, d, "stage2_stream_dataset").where(T.not_blank(F.col("text")))
+    label = F.coalesce("domain_filter", F.lit("web"))
+    items = F.when(label == "code", T.words(F.col("text"))).otherwise(T.alpha_words(F.col("text")))
+    docs = rows.select(label.alias("label"), "row_id", items.alias("items"))
+    out = P.packed(docs, ["label"], F.col("row_id"), "items", size, F.floor(F.col("row_id") / 1024).cast("int"))
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n_windows"), F.max("chunk_id").alias("last"))
+
+
+def held_out(s, d, size=129):
+    """Windows of each source's documents behind the first 20 in hash order."""
+    kept = hash_ranked(usable(s, d).select("doc_id", "source", "text"), "held", "doc_id", ["source"]).where("rank > 20")
+    docs = kept.select("source", "doc_id", T.words(F.col("text")).alias("items"))
+    out = P.packed(docs, ["source"], F.col("doc_id"), "items", size, F.floor(F.col("doc_id") / 1024).cast("int"))
+    return out.select("source", "chunk_id", F.md5(F.array_join("items", " ")).alias("digest"))
+
+
+HELD = f"""SELECT source, doc_id AS o, unnest(w) AS w, unnest(range(len(w))) AS k FROM (SELECT source, doc_id, regexp_extract_all(text, '\\S+') AS w, row_number() OVER (PARTITION BY source ORDER BY md5('held|' || doc_id), doc_id) AS r FROM documents WHERE {USABLE}) WHERE r > 20"""
+NATURAL = f"SELECT domain_index, doc_id AS o, unnest(regexp_extract_all(text, '\\S+')) AS w, unnest(range(len(regexp_extract_all(text, '\\S+')))) AS k FROM documents JOIN domain_dim USING (domain) WHERE {USABLE}"
+
 QUERIES = {
+    "g6_held_out_composition": (
+        lambda s, d: M.fill_spans(chosen(s, d), hash_ranked(usable(s, d).select("doc_id", "domain", "text"), "held", "doc_id", ["domain"]).where("rank > 10").drop("rank"), 40, "mix").select("mix_id", "pos", "domain", "doc_id"),
+        f"""WITH held AS (SELECT doc_id, domain FROM documents WHERE {USABLE} QUALIFY row_number() OVER (PARTITION BY domain ORDER BY md5('held|' || doc_id), doc_id) > 10)
+        SELECT t.mix_id, t.pos, t.domain, d.doc_id FROM (SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY md5('mix-turn|' || mix_id || '|' || domain), mix_id || '|' || domain) - 1) % n + 1 AS rank FROM ({_chosen_sql(None)}) JOIN (SELECT domain, count(*) AS n FROM held GROUP BY domain) USING (domain)) t
+        JOIN (SELECT doc_id, domain, row_number() OVER (PARTITION BY domain ORDER BY md5('mix|' || doc_id), doc_id) AS rank FROM held) d ON t.domain = d.domain AND t.rank = d.rank""",
+    ),
+    "g8_encode_routed": (
+        encoded,
+        f"""SELECT mix_id, count(*) AS n, md5(string_agg(token, ' ' ORDER BY pos, k)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY mix_id ORDER BY pos, k) AS r FROM (SELECT mix_id, pos, unnest(list_concat(['<' || domain || '>'], w)) AS token, unnest(range(len(w) + 1)) AS k
+        FROM (SELECT mix_id, pos, domain, list_slice(regexp_extract_all(snippet, '\\S+'), 1, 60) AS w FROM ({_spans_sql()}) WHERE domain IN (SELECT domain FROM domain_dim)))) WHERE r <= 181 GROUP BY mix_id""",
+    ),
+    "g12_labelled_windows": (
+        labelled_windows,
+        """SELECT label, CAST(n // 65 AS BIGINT) AS n_windows, CAST(n // 65 - 1 AS BIGINT) AS last FROM (SELECT coalesce(domain_filter, 'web') AS label, sum(CASE WHEN coalesce(domain_filter, 'web') = 'code' THEN len(regexp_extract_all(text, '\\S+')) ELSE len(regexp_extract_all(lower(text), '[a-z'']+')) END) AS n
+        FROM stage2_stream_dataset WHERE regexp_matches(text, '\\S') GROUP BY ALL) WHERE n >= 65""",
+    ),
+    "g13_held_out_windows": (held_out, _packed_sql(HELD, "source", 129)),
+    "g14_natural_windows": (
+        natural,
+        f"""SELECT domain_index, chunk_id, md5(string_agg(w, ' ' ORDER BY place)) AS digest FROM (SELECT *, place // 257 AS chunk_id, place % 257 AS slot, count(*) OVER (PARTITION BY domain_index, place // 257) AS n FROM (SELECT domain_index, w, row_number() OVER (PARTITION BY domain_index ORDER BY o, k) - 1 AS place FROM ({NATURAL})))
+        WHERE n = 257 AND slot > 0 GROUP BY domain_index, chunk_id""",
+    ),
     "g2_tagged_corpus_split": (
         lambda s, d: S.split(usable(s, d), "doc_id", 0.05, "corpus").groupBy("domain", "part").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(T.word_count(F.col("text"))).alias("n_words")),
         f"""SELECT domain, part, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS n_words FROM (SELECT domain, text, CASE WHEN row_number() OVER (ORDER BY md5('corpus|' || doc_id), doc_id) <= greatest(1, floor(count(*) OVER () * 0.05)) THEN 'val' ELSE 'train' END AS part

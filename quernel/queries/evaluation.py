@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quernel.functions import metrics as M
 from quernel.operators import evaluation as E
+from quernel.operators.quality import STOPWORDS
+from quernel.plans.scan import neighbour
 from quernel.session import table
 
 WORDS = "SELECT doc_id, coalesce(domain, 'none') AS domain, unnest(range(len(w))) AS pos, unnest(w) AS word FROM (SELECT doc_id, domain, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents)"
@@ -62,6 +64,12 @@ QUERIES = {
         lambda s, d: E.cloze_items(table(s, d, "eval_item")).groupBy("suite").agg(F.round(F.avg((F.col("answer") == F.col("guess")).cast("double")), 6).alias("exact_match"), F.count(F.lit(1)).alias("n")),
         f"SELECT suite, round(avg(CAST(answer = guess AS DOUBLE)), 6) AS exact_match, count(*) AS n FROM ({CLOZE}) GROUP BY suite",
     ),
+    "a17_stopword_filtered_match": (
+        lambda s, d: (lambda t: t.join(t.where(~F.col("answer").isin(STOPWORDS)).groupBy("suite", "answer").agg(F.count(F.lit(1)).alias("c")).groupBy("suite").agg(F.min_by("answer", F.struct(-F.col("c"), F.col("answer"))).alias("kept")), "suite").groupBy("suite").agg(F.round(F.avg((F.col("answer") == F.col("kept")).cast("double")), 6).alias("exact_match")))(
+            E.cloze_items(table(s, d, "eval_item")).select("suite", "answer")
+        ),
+        f"""SELECT suite, round(avg(CAST(answer = kept AS DOUBLE)), 6) AS exact_match FROM ({CLOZE}) JOIN (SELECT suite, arg_min(answer, (-c, answer)) AS kept FROM (SELECT suite, answer, count(*) AS c FROM ({CLOZE}) WHERE answer NOT IN ({", ".join(repr(w) for w in STOPWORDS)}) GROUP BY ALL) GROUP BY suite) USING (suite) GROUP BY suite""",
+    ),
     "a18_target_perplexity": (
         lambda s, d: predictions(s, d).groupBy("domain").agg(F.round(M.perplexity(F.sum("nll"), F.count(F.lit(1))), 3).alias("ppl"), F.round(F.sum("nll") / M.LN2 / F.count(F.lit(1)), 6).alias("bits")),
         f"SELECT domain, round(exp(sum(nll) / count(*)), 3) AS ppl, round(sum(nll) / ln(2.0::DOUBLE) / count(*), 6) AS bits FROM ({PREDICTIONS}) GROUP BY domain",
@@ -82,6 +90,27 @@ QUERIES = {
         lambda s, d: E.calibration_error(predictions(s, d)),
         f"""SELECT domain, round(sum(n * abs(c - a)) / sum(n), 6) AS ece FROM (SELECT domain, floor(least(confidence, 0.9999) * 10) AS bin, count(*) AS n, avg(confidence) AS c, avg(CAST(correct AS DOUBLE)) AS a FROM ({PREDICTIONS}) GROUP BY ALL) GROUP BY domain""",
     ),
+    "f11_switch_and_content": (
+        lambda s, d: predictions(s, d).groupBy("domain", "is_switch").agg(F.count(F.lit(1)).alias("n")),
+        f"SELECT domain, is_switch, count(*) AS n FROM ({PREDICTIONS}) GROUP BY ALL",
+    ),
+    "f13_bounded_targets": (
+        lambda s, d: logits(s, d).where("label < 6").groupBy("label").agg(F.count(F.lit(1)).alias("n")),
+        "SELECT label, count(*) AS n FROM embeddings WHERE label < 6 GROUP BY label",
+    ),
+    "e3_bits_per_byte_by_mode": (
+        lambda s, d: (lambda p, b: p.groupBy("mode").agg(F.sum("nll").alias("nats")).join(b, "mode").select("mode", F.round(F.col("nats") / M.LN2 / F.col("bytes"), 6).alias("bpb")))(
+            predictions(s, d).withColumn("mode", F.when(F.pmod("doc_id", F.lit(2)) == 0, "single").otherwise("mixed")),
+            table(s, d, "documents").where("text is not null").groupBy(F.when(F.pmod("doc_id", F.lit(2)) == 0, "single").otherwise("mixed").alias("mode")).agg(F.sum(F.octet_length("text")).alias("bytes")),
+        ),
+        f"""SELECT mode, round(nats / ln(2.0::DOUBLE) / bytes, 6) AS bpb FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'single' ELSE 'mixed' END AS mode, sum(nll) AS nats FROM ({PREDICTIONS}) GROUP BY ALL)
+        JOIN (SELECT CASE WHEN doc_id % 2 = 0 THEN 'single' ELSE 'mixed' END AS mode, sum(octet_length(encode(text))) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY ALL) USING (mode)""",
+    ),
+    "e8_switch_events": (
+        lambda s, d: neighbour(table(s, d, "documents").select("shard_id", "doc_id", F.coalesce("domain", F.lit("none")).alias("domain")), ["shard_id"], [F.col("doc_id")], "domain", "before", F.floor(F.col("doc_id") / 4096).cast("int"))
+        .where("before <> domain").groupBy("before", "domain").agg(F.count(F.lit(1)).alias("n")),
+        "SELECT before, domain, count(*) AS n FROM (SELECT coalesce(domain, 'none') AS domain, lag(coalesce(domain, 'none')) OVER (PARTITION BY shard_id ORDER BY doc_id) AS before FROM documents) WHERE before <> domain GROUP BY ALL",
+    ),
     "a33_held_out_cross_entropy": (
         lambda s, d: predictions(s, d).where("not is_switch").agg(F.round(F.sum("nll") / F.count(F.lit(1)), 6).alias("ce"), F.count(F.lit(1)).alias("n")),
         f"SELECT round(sum(nll) / count(*), 6) AS ce, count(*) AS n FROM ({PREDICTIONS}) WHERE NOT is_switch",

@@ -108,7 +108,11 @@ QUERIES = {
         f"SELECT run_id, arm, step, CAST(sum(CAST(round(loss * 100000) AS BIGINT)) OVER w AS BIGINT) AS rolling_sum, count(*) OVER w AS n FROM ({CLEAN}) WINDOW w AS (PARTITION BY run_id, arm ORDER BY step ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING)",
     ),
     "r3_scoreboard": (
-        lambda s, d: board(s, d).select("arm", F.coalesce(F.format_string("%.2f", "val_ce"), F.lit("-")).alias("shown_ce"), F.coalesce(F.when(F.exp("loss") >= 100, F.format_string("%.1f", F.exp("loss"))).otherwise(F.format_string("%.2f", F.exp("loss"))), F.lit("-")).alias("shown_ppl")).withColumn("shown_ce", F.when(F.col("shown_ce") == "null", "-").otherwise(F.col("shown_ce"))),
+        lambda s, d: board(s, d).select(
+            "arm",
+            F.when(F.col("val_ce").isNull(), "-").otherwise(F.format_string("%.2f", "val_ce")).alias("shown_ce"),
+            F.when(F.col("loss").isNull(), "-").when(F.exp("loss") >= 100, F.format_string("%.1f", F.exp("loss"))).otherwise(F.format_string("%.2f", F.exp("loss"))).alias("shown_ppl"),
+        ),
         f"SELECT arm, coalesce(printf('%.2f', val_ce), '-') AS shown_ce, coalesce(CASE WHEN exp(loss) >= 100 THEN printf('%.1f', exp(loss)) ELSE printf('%.2f', exp(loss)) END, '-') AS shown_ppl FROM ({BOARD})",
     ),
     "r4_in_flight": (

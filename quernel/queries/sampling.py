@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from quernel.functions import ordering as H
 from quernel.functions import text as T
 from quernel.operators import sampling as S
+from quernel.plans.scan import neighbour, prefix_sum
 from quernel.session import table
 
+#: Ids that one bucket of an ordered scan spans.
+BUCKET = 4096
 USABLE = "regexp_matches(text, '\\S')"
 WORDS = "len(regexp_extract_all(text, '\\S+'))"
 
@@ -35,10 +38,19 @@ COMPOSED = """SELECT mix_id, pos, domain FROM (SELECT mix_id, k, domain, row_num
 
 def controls(s, d):
     """Documents of each shard in id order as spans: whether the domain changes, and which run of one domain it is."""
-    w = Window.partitionBy("shard_id").orderBy("doc_id")
-    spans = table(s, d, "documents").select("shard_id", "doc_id", F.coalesce("domain", F.lit("none")).alias("domain"))
-    flagged = spans.withColumn("is_switch", F.coalesce(F.lag("domain").over(w) != F.col("domain"), F.lit(True)))
-    return flagged.withColumn("run", F.sum(F.col("is_switch").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    order, bucket = [F.col("doc_id")], F.floor(F.col("doc_id") / BUCKET).cast("int")
+    spans = table(s, d, "documents").select("shard_id", "doc_id", F.coalesce("domain", F.lit("none")).alias("domain"), F.lit(1).alias("one"))
+    before = neighbour(spans, ["shard_id"], order, "domain", "before", bucket)
+    flagged = before.withColumn("is_switch", F.coalesce(F.col("before") != F.col("domain"), F.lit(True))).drop("before").withColumn("step", F.col("is_switch").cast("int"))
+    counted = prefix_sum(flagged, ["shard_id"], order, "step", "runs_before", bucket)
+    return prefix_sum(counted.withColumn("run", F.col("runs_before") + F.col("step")), ["shard_id"], order, "one", "place", bucket).drop("one", "step", "runs_before")
+
+
+def boundaries(s, d, width=8):
+    """Whether a span lies within ``width`` spans of the start of its run."""
+    c = controls(s, d)
+    starts = c.groupBy("shard_id", "run").agg(F.min("place").alias("start"))
+    return c.join(starts, ["shard_id", "run"]).select("shard_id", "doc_id", (F.col("place") - F.col("start") < width).alias("is_boundary"))
 
 
 CONTROLS = """SELECT *, CAST(sum(CAST(is_switch AS INT)) OVER (PARTITION BY shard_id ORDER BY doc_id) AS BIGINT) AS run FROM (SELECT shard_id, doc_id, coalesce(domain, 'none') AS domain,
@@ -48,7 +60,7 @@ CONTROLS = """SELECT *, CAST(sum(CAST(is_switch AS INT)) OVER (PARTITION BY shar
 def round_robin(s, d):
     dim = table(s, d, "domain_dim").select("domain", "domain_index").limit(1000)
     docs = usable(s, d, "domain").join(F.broadcast(dim), "domain").select("domain", "domain_index", "doc_id")
-    return S.round_robin(docs, "domain", "domain_index", "doc_id").select("seq", "turn", "domain", "doc_id")
+    return S.round_robin(docs, "domain", "domain_index", "doc_id", F.floor(F.col("doc_id") / BUCKET).cast("int")).select("seq", "turn", "domain", "doc_id")
 
 
 def temperature(s, d, t=0.7):
@@ -88,7 +100,7 @@ QUERIES = {
         "SELECT arm, step, arg_max(loss, (received_at, run_id, loss)) AS loss FROM history WHERE loss IS NOT NULL GROUP BY arm, step",
     ),
     "j11_next_row": (
-        lambda s, d: table(s, d, "documents").select("shard_id", "doc_id", F.lead("doc_id").over(Window.partitionBy("shard_id").orderBy("doc_id")).alias("next_doc")),
+        lambda s, d: neighbour(table(s, d, "documents").select("shard_id", "doc_id"), ["shard_id"], [F.col("doc_id")], "doc_id", "next_doc", F.floor(F.col("doc_id") / BUCKET).cast("int"), ahead=True),
         "SELECT shard_id, doc_id, lead(doc_id) OVER (PARTITION BY shard_id ORDER BY doc_id) AS next_doc FROM documents",
     ),
     "j13_lookup_with_default": (
@@ -111,7 +123,7 @@ QUERIES = {
         f"SELECT mix_id, pos, domain, CAST(coalesce(sum(length(domain) + 10) OVER (PARTITION BY mix_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS char_offset FROM ({COMPOSED})",
     ),
     "w4_boundary_flags": (
-        lambda s, d: controls(s, d).select("shard_id", "doc_id", (F.max(F.col("is_switch").cast("int")).over(Window.partitionBy("shard_id").orderBy("doc_id").rowsBetween(-7, 0)) == 1).alias("is_boundary")),
+        boundaries,
         f"SELECT shard_id, doc_id, max(CAST(is_switch AS INT)) OVER (PARTITION BY shard_id ORDER BY doc_id ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) = 1 AS is_boundary FROM ({CONTROLS})",
     ),
     "w11_first_places": (
@@ -184,6 +196,14 @@ QUERIES = {
         lambda s, d: table(s, d, "documents").where("side = 'raw'").select("doc_id", "domain").unionByName(table(s, d, "documents").where("side = 'textbook'").select("doc_id", "domain")).groupBy("domain").agg(F.count(F.lit(1)).alias("n")),
         "SELECT domain, count(*) AS n FROM documents WHERE side IN ('raw', 'textbook') GROUP BY domain",
     ),
+    "f7_gated_sources": (
+        lambda s, d: table(s, d, "documents").join(F.broadcast(s.createDataFrame([("letters",), ("subtitles",)], "source string")), "source", "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("n")),
+        "SELECT source, count(*) AS n FROM documents WHERE source NOT IN ('letters', 'subtitles') GROUP BY source",
+    ),
+    "u2_pooled_union": (
+        lambda s, d: table(s, d, "documents").where("text is not null").select("text", F.lit("documents").alias("origin")).unionByName(table(s, d, "stage2_stream_dataset").where("text is not null").select("text", F.lit("stream").alias("origin"))).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.sum(T.byte_count(F.col("text"))).alias("n_bytes")),
+        "SELECT origin, count(*) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM (SELECT text, 'documents' AS origin FROM documents UNION ALL SELECT text, 'stream' FROM stage2_stream_dataset) WHERE text IS NOT NULL GROUP BY origin",
+    ),
     "u3_key_difference": (
         lambda s, d: table(s, d, "documents").select("source").distinct().exceptAll(table(s, d, "stage2_stream_dataset").select("source").distinct()).withColumn("side", F.lit("left")).unionByName(
             table(s, d, "stage2_stream_dataset").select("source").distinct().exceptAll(table(s, d, "documents").select("source").distinct()).withColumn("side", F.lit("right"))

@@ -10,7 +10,7 @@ from quernel.functions import metrics as M
 from quernel.functions import ordering as H
 from quernel.functions import text as T
 from quernel.operators import compose, evaluation, packing, quality, results, sampling, series, vectors
-from quernel.plans.scan import prefix_sum
+from quernel.plans.scan import neighbour, prefix_sum
 from quernel.session import bounded_rows
 from quernel.sources import readers
 
@@ -178,3 +178,43 @@ def test_bounded_rows_refuse_what_grows(spark):
     assert len(bounded_rows(spark.range(5), 5, "the rows")) == 5
     with pytest.raises(ValueError):
         bounded_rows(spark.range(6), 5, "the rows")
+
+
+def test_neighbours_cross_buckets(spark):
+    rows = [("a", i, None if i % 5 == 0 else i * 10) for i in range(0, 60, 3)] + [("b", 7, 1), (None, 1, 2), (None, 50, 3)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    for width in (1, 4, 1000):
+        for ahead in (False, True):
+            got = {(r.k, r.i): r.o for r in neighbour(df, ["k"], [F.col("i")], "v", "o", F.floor(F.col("i") / width).cast("int"), ahead).collect()}
+            for k in ("a", "b", None):
+                own = sorted(r for r in rows if r[0] == k)
+                own = own[::-1] if ahead else own
+                assert [got[k, r[1]] for r in own] == [None, *[r[2] for r in own[:-1]]]
+
+
+def test_codec_round_trip(spark, data):
+    from quernel.functions.bpe import bpe_codec
+
+    public = pytest.importorskip("public_tokenizers")
+    encode, decode = bpe_codec(spark, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("text").withColumn("ids", encode("text"))
+    assert docs.where(~decode("ids").eqNullSafe(F.col("text"))).count() == 0
+    assert docs.where("text is not null and text <> '' and size(ids) = 0").count() == 0
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from quernel.__main__ import main
+
+    main(["list"])
+    assert "a8_compression_report" in capsys.readouterr().out.split()
+    main(["run", "a29_largest_step", data, "--out", str(tmp_path / "o")])
+    assert spark.read.parquet(str(tmp_path / "o")).columns == ["arm", "step"]
+
+
+def test_the_library_stands_without_the_llm_subpackage():
+    import pathlib
+
+    root = pathlib.Path(__file__).resolve().parent.parent / "quernel"
+    for path in root.rglob("*.py"):
+        if "llm" not in path.relative_to(root).parts:
+            assert "quernel.llm" not in path.read_text(), path
