@@ -9,11 +9,14 @@ from quernel.functions.text import alpha_words, phrase_hits, word_count
 
 # Fixed values.
 BOILERPLATE = ["click here", "subscribe now", "follow us", "all rights reserved", "sign up", "log in", "newsletter", "terms of service", "privacy policy", "cookie"]
-STOPWORDS = (
-    "a about after all also an and any are as at be because been before being but by can could did do does for from had has have he her "
-    "here him his how i if in into is it its just like me more most my no not now of on one only or other our out over said saw she so some "
-    "such than that the their them then there these they this those to too up us was we were what when where which who why will with would you your"
-).split()
+STOPWORDS = """
+    the a an and or but if of to in on at by for with as is was were are be been being
+    it its this that these those he she they we you i his her their our your my him
+    them us me not no so up out about into over after before than then there here what
+    which who when where how all any each other some such only own same too very just
+    also one would could should will shall can may might must do does did have has had
+    from
+""".split()
 
 
 def is_article(text: Column, least_words: int = 500, most_words: int = 5000, phrases: list[str] = BOILERPLATE) -> Column:

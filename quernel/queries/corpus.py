@@ -12,7 +12,8 @@ from quernel.plans.scan import prefix_sum
 from quernel.session import table
 from quernel.sources.readers import retry_delays
 
-CODE_LICENSES = ["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "unlicense"]
+#: Licences whose code may be taken.
+CODE_LICENSES = ["mit", "apache-2.0", "bsd-3-clause", "bsd-2-clause", "isc"]
 
 
 def _in(values: list[str]) -> str:
@@ -36,11 +37,11 @@ def _classified(seen: str, labels, default: str, threshold: int) -> str:
     hits = ", ".join(f"{_hits(seen, x)} AS h_{x.name}" for x in labels)
     cases = " ".join(f"WHEN h_{n} = most AND most >= {threshold} THEN '{n}'" for n in names)
     return f"""SELECT doc_id, CASE {cases} ELSE {default} END AS label FROM (
-        SELECT *, greatest({", ".join("h_" + n for n in names)}) AS most FROM (SELECT doc_id, {hits} FROM documents))"""
+        SELECT *, greatest({", ".join("h_" + n for n in names)}) AS most FROM (SELECT doc_id, text, {hits} FROM documents))"""
 
 
 SEEN = "coalesce(substring(text, 1, 2000), '')"
-BUCKETS = "CASE CAST(('0x' || substr(md5('register|' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'opinion' WHEN 2 THEN 'narrative' ELSE 'reference' END"
+BUCKETS = "CASE CAST(('0x' || substr(md5('register|' || coalesce(substring(text, 1, 200), '')), 1, 8)) AS BIGINT) % 4 WHEN 0 THEN 'nlp_news' WHEN 1 THEN 'nlp_opinion' WHEN 2 THEN 'nlp_narrative' ELSE 'nlp_reference' END"
 
 
 def classified(spark, d):
@@ -51,7 +52,7 @@ def classified(spark, d):
 def register(spark, d):
     docs = table(spark, d, "documents")
     names = F.array(*[F.lit(x.name) for x in C.REGISTERS])
-    fallback = F.element_at(names, (H.hash_int("register", F.col("doc_id")) % 4 + 1).cast("int"))
+    fallback = F.element_at(names, (H.hash_int("register", F.coalesce(F.substring("text", 1, 200), F.lit(""))) % 4 + 1).cast("int"))
     return docs.select("doc_id", C.classified(F.col("text"), C.REGISTERS, fallback, 2000, 1).alias("label"))
 
 

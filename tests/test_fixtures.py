@@ -120,9 +120,22 @@ def test_calibration(spark):
     assert evaluation.calibration_error(df).first().ece == pytest.approx(0.365)
 
 
+@pytest.mark.parametrize("text,name,counts", [
+    ("import os\nclass A:\n    def f(self): return x\nfor(;;){ print(x); y -> z; a::b => c; }\n", "code", [5, 4]),
+    ("Theorem: $x^2$ and $\\alpha_1$; \\frac{a}{b} \\[ \\sum \\] lemma éproof proofé proof. matrix", "math", [5, 4]),
+    ("We show (Smith et al.) hypothesis; p < 0.05 table 3 figure 12 doi:10.1 doi: 10 experimental arXiv abstracté", "science", [8]),
+    ("Officials said on Monday at 10:30 pm, according to a spokesperson; reported. FRIDAYé friday", "nlp_news", [8]),
+    ("I think we should go; imo I love it. shouldn't he? honestly, i feel. should élan", "nlp_opinion", [8]),
+    ('"Go home now!" she said. He walked. "Étoile brille." élève he looked "No." "Abcd efg?"', "nlp_narrative", [5]),
+    ("A cat is a pet. X refers to Y, is the one; is one of is used to", "nlp_reference", [5]),
+])
+def test_pattern_hits(spark, text, name, counts):
+    label = next(x for x in C.DOMAINS + C.REGISTERS if x.name == name)
+    assert [one(spark, C.hits(F.col("a"), C.Label("x", (p,))), a=text) for p in label.patterns] == counts
+
+
 @pytest.mark.parametrize("text,label", [
-    ("import os\nclass A:\n    def f(self): return x\nx -> z; a::b => c;\n", "code"), ("$x^2$ and $\\alpha_1$; \\frac{a}{b} lemma proof. matrix", "math"),
-    ("We show (Smith et al.) hypothesis; arXiv doi:10.1 figure 12 ", "science"), ("  ", "nlp"), (None, "nlp"), ("def => ::", "nlp"), ("def x => :: -> =>", "code"),
+    ("-> => ::", "nlp"), ("-> => :: ->", "code"), ("-> => :: -> lemma proof matrix axiom", "code"), ("lemma proof matrix", "nlp"), ("lemma proof matrix axiom arxiv abstract hypothesis doi:1", "math"), ("arxiv abstract hypothesis methodology", "science"), ("  ", "nlp"), (None, "nlp"),
 ])
 def test_domain_classifier(spark, text, label):
     df = spark.createDataFrame([(text,)], "t string")
