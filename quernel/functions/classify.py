@@ -57,8 +57,7 @@ def classified(text: Column, labels: tuple[Label, ...], default: Column, sample:
     """
     seen = F.coalesce(F.substring(text, 1, sample) if sample else text, F.lit(""))
     counts = [F.when(seen.rlike(r"\S"), hits(seen, label)).otherwise(0) for label in labels]
-    most = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    out = default
-    for label, count in reversed(list(zip(labels, counts))):
-        out = F.when((count == most) & (most >= threshold), F.lit(label.name)).otherwise(out)
-    return out
+    names = F.array(*[F.lit(label.name) for label in labels])
+    # The counts are bound to a variable: they are used three times and must be taken once.
+    bound = F.transform(F.array(F.array(*counts)), lambda c: F.when(F.array_max(c) >= threshold, F.element_at(names, F.array_position(c, F.array_max(c)).cast("int"))))
+    return F.coalesce(F.element_at(bound, 1), default)
