@@ -18,7 +18,7 @@ def unigram_predictions(docs: DataFrame) -> DataFrame:
     words = docs.select("doc_id", F.coalesce("domain", F.lit("none")).alias("domain"), F.posexplode(alpha_words(F.col("text"))).alias("pos", "word"))
     counts = words.groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("domain").agg(F.sum("n").alias("total"), F.max_by("word", F.struct("n", "word")).alias("pred"), F.max("n").alias("most"))
-    scored = counts.join(F.broadcast(totals), "domain").select("domain", "word", (-F.log(F.col("n") / F.col("total"))).alias("nll"), "pred", (F.col("n") / F.col("most")).alias("confidence"))
+    scored = counts.join(totals, "domain").select("domain", "word", (-F.log(F.col("n") / F.col("total"))).alias("nll"), "pred", (F.col("n") / F.col("most")).alias("confidence"))
     joined = words.join(scored, ["domain", "word"])
     return joined.select("doc_id", "domain", F.col("pos").cast("long").alias("pos"), "word", "nll", "pred", (F.col("word") == F.col("pred")).alias("correct"), "confidence", (F.col("pos") == 0).alias("is_switch"))
 
@@ -61,7 +61,7 @@ def cloze_items(items: DataFrame) -> DataFrame:
     counts = told.groupBy("suite", "answer").agg(F.count(F.lit(1)).alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("suite").orderBy(F.desc("n"), "answer")).cast("long"))
     best = ranked.where("rank = 1").select("suite", F.col("answer").alias("guess"))
-    return told.join(ranked.select("suite", "answer", "rank"), ["suite", "answer"]).join(F.broadcast(best), "suite").select("item_id", "suite", "context", "answer", "guess", "rank")
+    return told.join(ranked.select("suite", "answer", "rank"), ["suite", "answer"]).join(best, "suite").select("item_id", "suite", "context", "answer", "guess", "rank")
 
 
 def cloze_errors(items: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ def split(df: DataFrame, key: str, fraction: float, seed: str, partition: list[s
     partition = partition or []
     ranked = hash_ranked(df, seed, key, partition, "__rank")
     sizes = df.groupBy(*partition).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * fraction)).alias("__n"))
-    joined = ranked.join(F.broadcast(sizes), partition) if partition else ranked.crossJoin(F.broadcast(sizes))  # one row per group, or one
+    joined = ranked.join(sizes, partition) if partition else ranked.crossJoin(F.broadcast(sizes))  # one row per group, or one
     return joined.withColumn("part", F.when(F.col("__rank") <= F.col("__n"), "val").otherwise("train")).drop("__rank", "__n")
 
 
@@ -25,7 +25,7 @@ def balanced(df: DataFrame, size: str, group: str, side: str, key: str, seed: st
     """
     totals = df.groupBy(group, side).agg(F.sum(size).alias("__total"))
     least = totals.where("__total > 0").groupBy(group).agg(F.min("__total").alias("__target"), F.count(F.lit(1)).alias("__sides")).where("__sides > 1")
-    hashed = df.join(F.broadcast(least.select(group, "__target")), group).withColumn("__hash", hash_of(seed, F.col(key)))
+    hashed = df.join(least.select(group, "__target"), group).withColumn("__hash", hash_of(seed, F.col(key)))
     bucket = F.conv(F.substring("__hash", 1, 3), 16, 10).cast("int")
     summed = prefix_sum(hashed, [group, side], [F.col("__hash"), F.col(key)], size, "__before", bucket)
     return summed.where("__before < __target").drop("__hash", "__before", "__target")
@@ -61,7 +61,7 @@ def weighted_draws(weights: DataFrame, group: str, item: str, weight: str, draws
 def sized_samples(df: DataFrame, weights: DataFrame, by: str, weight: str, n: int, key: str, seed: str) -> DataFrame:
     """Of each ``by`` the first round(n * weight) rows in hash order."""
     ranked = hash_ranked(df, seed, key, [by], "__rank")
-    return ranked.join(F.broadcast(weights.select(by, F.round(F.col(weight) * n).alias("__most"))), by).where("__rank <= __most").drop("__rank", "__most")
+    return ranked.join(weights.select(by, F.round(F.col(weight) * n).alias("__most")), by).where("__rank <= __most").drop("__rank", "__most")
 
 
 def cyclic(df: DataFrame, n: Column, draws: DataFrame, rank: str = "rank") -> DataFrame:

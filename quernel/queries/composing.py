@@ -9,7 +9,7 @@ from quernel.functions.ordering import hash_ranked
 from quernel.operators import compose as M
 from quernel.operators import packing as P
 from quernel.operators import sampling as S
-from quernel.session import table
+from quernel.session import small, table
 
 USABLE = "domain IS NOT NULL AND regexp_matches(text, '\\S')"
 
@@ -58,7 +58,7 @@ def packed_single(s, d, size=257):
 
 
 def packed_mixed(s, d, size=257):
-    dim = F.broadcast(table(s, d, "domain_dim").select("domain", "domain_index").limit(1000))
+    dim = small(table(s, d, "domain_dim").select("domain", "domain_index"))
     turns = S.round_robin(usable(s, d).join(dim, "domain").select("domain", "domain_index", "doc_id", T.words(F.col("text")).alias("items")), "domain", "domain_index", "doc_id", F.floor(F.col("doc_id") / 4096).cast("int"))
     out = P.packed(turns.withColumn("all", F.lit("mixed")), ["all"], F.col("seq"), "items", size, F.floor(F.col("seq") / 1024).cast("int"))
     return out.select("chunk_id", F.md5(F.array_join("items", " ")).alias("digest"))
@@ -66,7 +66,7 @@ def packed_mixed(s, d, size=257):
 
 def routed(s, d, size=129):
     """Windows over the composed documents' spans: control tokens, tokens, domains."""
-    dim = F.broadcast(table(s, d, "domain_dim").select("domain", "domain_index", "vocab_size").limit(1000))
+    dim = small(table(s, d, "domain_dim").select("domain", "domain_index", "vocab_size"))
     items = M.parsed_spans(documents(s, d), "mix_id").join(dim, "domain")
     items = items.select("mix_id", "span_pos", P.routed_items(F.concat(F.lit("<"), F.col("domain"), F.lit(">")), T.words(F.col("body")), F.col("domain"), F.col("domain_index")).alias("items"))
     flat = items.select(F.lit("routed").alias("stream"), (F.col("mix_id") * 64 + F.col("span_pos")).alias("o"), "items")
@@ -97,7 +97,7 @@ MIXED = f"""SELECT unnest(regexp_extract_all(text, '\\S+')) AS w, unnest(range(l
 
 def encoded(s, d, most=60):
     """Composed documents as control tokens and words, spans cut at ``most`` words, documents at ``3 * most + 1`` items."""
-    dim = F.broadcast(table(s, d, "domain_dim").select("domain", "domain_index").limit(1000))
+    dim = small(table(s, d, "domain_dim").select("domain", "domain_index"))
     items = M.parsed_spans(documents(s, d), "mix_id").join(dim, "domain")
     spans_ = items.select("mix_id", "span_pos", P.routed_items(F.concat(F.lit("<"), F.col("domain"), F.lit(">")), F.slice(T.words(F.col("body")), 1, most), F.col("domain"), F.col("domain_index")).alias("items"))
     whole = spans_.groupBy("mix_id").agg(F.sort_array(F.collect_list(F.struct("span_pos", "items"))).alias("xs")).select("mix_id", F.slice(F.flatten(F.transform("xs", lambda x: x["items"])), 1, 3 * most + 1).alias("items"))
@@ -106,7 +106,7 @@ def encoded(s, d, most=60):
 
 def natural(s, d, size=257):
     """Windows of one domain recast as routed windows without control tokens: input, next token, domain."""
-    dim = F.broadcast(table(s, d, "domain_dim").select("domain", "domain_index").limit(1000))
+    dim = small(table(s, d, "domain_dim").select("domain", "domain_index"))
     docs = words_by_source(s, d).join(dim, "domain")
     windows = P.packed(docs, ["domain_index"], F.col("doc_id"), "items", size, F.floor(F.col("doc_id") / 1024).cast("int"))
     told = P.with_targets(windows, "items", lambda x, y: y)

@@ -9,7 +9,7 @@ from quernel.functions import ordering as H
 from quernel.functions import text as T
 from quernel.operators import quality
 from quernel.plans.scan import prefix_sum
-from quernel.session import table
+from quernel.session import small, table
 from quernel.sources.readers import retry_delays
 
 #: Licences whose code may be taken.
@@ -71,7 +71,7 @@ def passes(spark, d, n=3):
 def tagged_corpus(spark, d):
     """Each shard's corpus written as tagged, separator-joined text and parsed again."""
     docs = table(spark, d, "documents").where(T.not_blank(F.col("text")) & F.col("domain").isNotNull())
-    dim = F.broadcast(table(spark, d, "domain_dim").select("domain", "tag").limit(1000))
+    dim = small(table(spark, d, "domain_dim").select("domain", "tag"))
     body = docs.join(dim, "domain").select("shard_id", "doc_id", T.tagged(F.col("tag"), F.col("text")).alias("t"))
     pattern = r"(?s)^<domain:([^>]+)>\n(.*)$"
     return body.select("shard_id", F.regexp_extract("t", pattern, 1).alias("domain"), T.byte_count(F.regexp_extract("t", pattern, 2)).alias("n")).groupBy("shard_id", "domain").agg(
@@ -107,7 +107,7 @@ QUERIES = {
         f"SELECT * FROM ({_classified(SEEN, C.DOMAINS, chr(39) + 'nlp' + chr(39), 4)}) WHERE label <> 'nlp'",
     ),
     "s6_blend_members": (
-        lambda s, d: table(s, d, "documents").where(T.not_blank(F.col("text"))).join(F.broadcast(table(s, d, "blend").select("domain", "source", "weight").limit(10_000)), ["domain", "source"])
+        lambda s, d: table(s, d, "documents").where(T.not_blank(F.col("text"))).join(small(table(s, d, "blend").select("domain", "source", "weight")), ["domain", "source"])
         .groupBy("domain", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.max("weight").alias("weight")),
         "SELECT domain, source, count(*) AS n_docs, max(weight) AS weight FROM documents JOIN blend USING (domain, source) WHERE regexp_matches(text, '\\S') GROUP BY domain, source",
     ),
@@ -179,7 +179,7 @@ QUERIES = {
         "SELECT repo_id, CASE WHEN license_text <> '' THEN concat_ws(chr(10), repo_name, license_text) END AS text FROM repository",
     ),
     "proj_tagged_documents": (
-        lambda s, d: table(s, d, "documents").join(F.broadcast(table(s, d, "domain_dim").limit(1000)), "domain").select("doc_id", T.tagged(F.col("tag"), F.col("text"), "\n<|endofdoc|>\n").alias("tagged")),
+        lambda s, d: table(s, d, "documents").join(small(table(s, d, "domain_dim")), "domain").select("doc_id", T.tagged(F.col("tag"), F.col("text"), "\n<|endofdoc|>\n").alias("tagged")),
         "SELECT doc_id, tag || chr(10) || text || chr(10) || '<|endofdoc|>' || chr(10) AS tagged FROM documents JOIN domain_dim USING (domain)",
     ),
     "proj_sizes": (
@@ -272,7 +272,7 @@ QUERIES = {
         WHERE length(word) >= 7 AND word NOT IN ({_in(quality.STOPWORDS)}) GROUP BY doc_id, word HAVING max(pos) - min(pos) >= 40)""",
     ),
     "f8_unknown_domain": (
-        lambda s, d: table(s, d, "stage2_stream_dataset").select("row_id", F.lower(F.trim("domain")).alias("domain")).join(F.broadcast(table(s, d, "domain_dim").limit(1000)), "domain").select("row_id", "domain", "domain_index"),
+        lambda s, d: table(s, d, "stage2_stream_dataset").select("row_id", F.lower(F.trim("domain")).alias("domain")).join(small(table(s, d, "domain_dim")), "domain").select("row_id", "domain", "domain_index"),
         "SELECT row_id, lower(trim(s.domain)) AS domain, domain_index FROM stage2_stream_dataset s JOIN domain_dim d ON lower(trim(s.domain)) = d.domain",
     ),
     "f9_least_length": (

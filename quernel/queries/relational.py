@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quernel.session import table
+from quernel.session import small, table
 
 CENTS = 100
 
@@ -24,7 +24,7 @@ QUERIES = {
     "rel_region_revenue": (
         lambda s, d: table(s, d, "lineitem").select("l_orderkey", cents("l_extendedprice").alias("c"))
         .join(table(s, d, "orders").select("o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey")).join(table(s, d, "customer").select("c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey"))
-        .join(F.broadcast(table(s, d, "nation").limit(1000)), F.expr("c_nationkey = n_nationkey")).join(F.broadcast(table(s, d, "region").limit(100)), F.expr("n_regionkey = r_regionkey"))
+        .join(small(table(s, d, "nation")), F.expr("c_nationkey = n_nationkey")).join(small(table(s, d, "region")), F.expr("n_regionkey = r_regionkey"))
         .groupBy("r_name", "n_name").agg(F.sum("c").alias("cents")),
         """SELECT r_name, n_name, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
         JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",

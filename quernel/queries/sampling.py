@@ -9,7 +9,7 @@ from quernel.functions import ordering as H
 from quernel.functions import text as T
 from quernel.operators import sampling as S
 from quernel.plans.scan import neighbour, prefix_sum
-from quernel.session import table
+from quernel.session import bounded_rows, small, table
 
 #: Ids that one bucket of an ordered scan spans.
 BUCKET = 4096
@@ -26,7 +26,8 @@ def composed(s, d, n_docs=500):
     """Which domains each of ``n_docs`` composed documents takes, in order: 2 to 4 of those with documents."""
     domains = usable(s, d, "domain").where("domain is not null").select("domain").distinct()
     ids = s.range(n_docs).withColumnRenamed("id", "mix_id").withColumn("k", 2 + H.hash_int("k", F.col("mix_id")) % 3)
-    pairs = ids.crossJoin(F.broadcast(domains.limit(1000)))  # the domains are a dimension
+    listed = bounded_rows(domains, 1000, "the domains")
+    pairs = ids.crossJoin(F.broadcast(s.createDataFrame(listed, "domain string")))
     w = Window.partitionBy("mix_id").orderBy(H.hash_of("mix", F.col("mix_id"), F.col("domain")), "domain")
     return pairs.withColumn("pos", F.row_number().over(w).cast("long")).where("pos <= k").select("mix_id", "pos", "domain")
 
@@ -58,8 +59,8 @@ CONTROLS = """SELECT *, CAST(sum(CAST(is_switch AS INT)) OVER (PARTITION BY shar
 
 
 def round_robin(s, d):
-    dim = table(s, d, "domain_dim").select("domain", "domain_index").limit(1000)
-    docs = usable(s, d, "domain").join(F.broadcast(dim), "domain").select("domain", "domain_index", "doc_id")
+    dim = small(table(s, d, "domain_dim").select("domain", "domain_index"))
+    docs = usable(s, d, "domain").join(dim, "domain").select("domain", "domain_index", "doc_id")
     return S.round_robin(docs, "domain", "domain_index", "doc_id", F.floor(F.col("doc_id") / BUCKET).cast("int")).select("seq", "turn", "domain", "doc_id")
 
 
@@ -70,7 +71,7 @@ def temperature(s, d, t=0.7):
 
 QUERIES = {
     "j1_dimension_lookup": (
-        lambda s, d: table(s, d, "documents").join(F.broadcast(table(s, d, "domain_dim").limit(1000)), "domain").groupBy("domain_index", "tag").agg(F.count(F.lit(1)).alias("n")),
+        lambda s, d: table(s, d, "documents").join(small(table(s, d, "domain_dim")), "domain").groupBy("domain_index", "tag").agg(F.count(F.lit(1)).alias("n")),
         "SELECT domain_index, tag, count(*) AS n FROM documents JOIN domain_dim USING (domain) GROUP BY ALL",
     ),
     "j2_semi_join": (
@@ -104,7 +105,7 @@ QUERIES = {
         "SELECT shard_id, doc_id, lead(doc_id) OVER (PARTITION BY shard_id ORDER BY doc_id) AS next_doc FROM documents",
     ),
     "j13_lookup_with_default": (
-        lambda s, d: table(s, d, "documents").join(F.broadcast(table(s, d, "blend").select("domain", "source", "weight").limit(10_000)), ["domain", "source"], "left").groupBy("source").agg(F.max(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.count(F.lit(1)).alias("n")),
+        lambda s, d: table(s, d, "documents").join(small(table(s, d, "blend").select("domain", "source", "weight")), ["domain", "source"], "left").groupBy("source").agg(F.max(F.coalesce("weight", F.lit(0.0))).alias("weight"), F.count(F.lit(1)).alias("n")),
         "SELECT d.source, max(coalesce(weight, 0.0)) AS weight, count(*) AS n FROM documents d LEFT JOIN blend b USING (domain, source) GROUP BY d.source",
     ),
     "j14_newest_parent": (

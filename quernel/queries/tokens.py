@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quernel.functions import ordering as H
 from quernel.functions import text as T
 from quernel.operators import vocabulary as V
-from quernel.session import table
+from quernel.session import small, table
 
 COUNTS = "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM documents) GROUP BY word"
 SIGNS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
@@ -120,7 +120,7 @@ QUERIES = {
         UNION ALL SELECT 'syllable', 1, count(*) + 4 FROM ({SYLLABLE}) UNION ALL SELECT 'morpheme', 2, count(*) + 4 FROM ({MORPHEME}) UNION ALL SELECT 'byte', 3, 260)""",
     ),
     "t7_dispatch_by_kind": (
-        lambda s, d: table(s, d, "documents").where("text is not null").join(F.broadcast(table(s, d, "domain_dim").select("domain", "tokenizer_kind").limit(1000)), "domain")
+        lambda s, d: table(s, d, "documents").where("text is not null").join(small(table(s, d, "domain_dim").select("domain", "tokenizer_kind")), "domain")
         .select("doc_id", "tokenizer_kind", F.when(F.col("tokenizer_kind") == "bpe", F.size(T.words_and_signs(F.col("text")))).otherwise(F.size(T.alpha_words(F.col("text")))).cast("long").alias("n_tokens")),
         f"SELECT doc_id, tokenizer_kind, CAST(CASE WHEN tokenizer_kind = 'bpe' THEN len({SIGNS}) ELSE len(regexp_extract_all(lower(text), '[a-z'']+')) END AS BIGINT) AS n_tokens FROM documents JOIN domain_dim USING (domain) WHERE text IS NOT NULL",
     ),

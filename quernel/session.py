@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "quernel", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,6 +49,14 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows; a larger one is left to a shuffled join.
+
+    Only up to most + 1 rows are counted, and none is dropped.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """The rows of a table that is small by definition, collected only up to ``most`` of them.
 
