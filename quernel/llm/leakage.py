@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quernel.session import bounded_rows
+from quernel.session import bounded_rows, small
 
 LENGTH, STEP, BLOCK = 24, 8, 7
 #: Items beyond this are refused rather than broadcast.
@@ -185,7 +185,7 @@ def leak_report(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFram
     """(suite, source, n_docs, n_items): where the items of each suite leaked; documents keep their own source."""
     return (
         found.join(docs.select("doc_id", "source"), "doc_id")
-        .join(F.broadcast(items.select("item_id", "suite").limit(MOST_ITEMS)), "item_id")
+        .join(small(items.select("item_id", "suite")), "item_id")
         .groupBy("suite", "source")
         .agg(F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("item_id").alias("n_items"))
     )

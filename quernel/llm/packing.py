@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.session import bounded_rows
+from quernel.session import bounded_rows, small
 
 GROUP = 25_000
 FINE = (0.25, 0.5, 1.0)
@@ -140,6 +140,6 @@ def packing_report(placed: DataFrame, windows: DataFrame) -> DataFrame:
     each = placed.groupBy("window_name", "window_id").agg(F.sum("n_tokens").alias("tokens"), cost.alias("cost"))
     return (
         each.groupBy("window_name").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("tokens").alias("n_tokens"), (F.max("cost") / F.avg("cost")).alias("cost_spread"))
-        .join(F.broadcast(windows.select("window_name", "capacity_tokens").limit(MOST_WINDOWS)), "window_name")
+        .join(small(windows.select("window_name", "capacity_tokens")), "window_name")
         .select("window_name", "n_windows", "n_tokens", (1 - F.col("n_tokens") / (F.col("n_windows") * F.col("capacity_tokens"))).alias("unused_share"), "cost_spread")
     )
