@@ -4,8 +4,8 @@ Some files say what they are, in a header notice or in where they lie (``gen/``,
 ``third_party/lib/``). These are the labels, and both are hidden from the features: notices are taken out before
 anything is measured, every feature but the comment density is computed on the code without its comments,
 and paths are no feature. A random forest is trained twice on compression ratio, token entropy, identifier lengths, comment
-density and the like: the first forest tells which files without a label look like labelled ones, and the
-second is trained without those, as they aren't known to be hand-written. Labelled files are cases; other
+density and the like: the first, fitted on the other folds, tells which files without a label look like
+labelled ones, and the second is trained without those, as they aren't known to be hand-written. Labelled files are cases; other
 files are cases where the second forest says so.
 
 The forest is fitted on at most ``MOST_ROWS`` rows of each label, drawn by hash; every file is scored.
@@ -29,8 +29,10 @@ from quernel.session import bounded_rows, checkpointed
 MOST_ROWS = 20_000
 #: Library files beyond this are refused rather than broadcast as shingles.
 MOST_UPSTREAM = 20_000
-SHINGLE = 8
-TREES, DEPTH, SEED = 40, 8, 7
+SHINGLE = 5
+#: With more other lines than this, a file's longest line is measured by its share only.
+OTHER_LINES = 5
+TREES, DEPTH, SEED, FOLDS = 40, 6, 7, 3
 
 # What files say of themselves, in header comments and in paths.
 NOTICES = re.compile(
@@ -55,7 +57,7 @@ _SHAPE_WORD, _SHAPE_NUMBER = re.compile(r"[A-Za-z_]+"), re.compile(r"\d+")
 
 FEATURES = (
     "compression", "entropy", "ident_mean", "ident_spread", "comment_density", "digits", "blanks", "line_mean", "line_longest",
-    "line_repeats", "stem_repeats", "numbers", "longest_token", "upstream",
+    "line_repeats", "stem_repeats", "numbers", "longest_token", "upstream", "long_share",
 )
 
 
@@ -69,10 +71,6 @@ def shingles(words: list[str]) -> set[int]:
     return {zlib.crc32(" ".join(words[i : i + SHINGLE]).encode()) for i in range(max(0, len(words) - SHINGLE + 1))}
 
 
-def _word_list(text: str) -> list[str]:
-    return [w[2:] if w.startswith("x_") else w for w in _WORD.findall(text)]
-
-
 def bare(code: str) -> str:
     """The code without its comments."""
     return _COMMENT.sub("", code)
@@ -83,6 +81,12 @@ def features(code: str, upstream: frozenset[int]) -> list[float]:
     code = _COMMENT.sub(lambda m: "" if NOTICES.search(m.group()) else m.group(), code).strip()
     body = bare(code).strip()
     kept = body if body.strip() else code
+    lines = [x for x in kept.split("\n") if x.strip()] or [""]
+    longest = max(lines, key=len)
+    long_share = len(longest) / max(1, sum(map(len, lines)))
+    if len(lines) > OTHER_LINES:  # one long line, or a table in one line, doesn't make a file
+        lines.remove(longest)
+        kept = "\n".join(lines)
     size = max(1, len(kept))
     raw = kept.encode("utf-8", "replace")
     words = _WORD.findall(kept)
@@ -94,9 +98,8 @@ def features(code: str, upstream: frozenset[int]) -> list[float]:
     mean = sum(lengths) / len(lengths)
     distinct = set(identifiers)
     stems = {w.rstrip("0123456789") for w in distinct}
-    lines = [x for x in kept.split("\n") if x.strip()] or [""]
     shapes = {_SHAPE_NUMBER.sub("9", _SHAPE_WORD.sub("a", x)) for x in lines}
-    runs = shingles(_word_list(kept))
+    runs = shingles(_WORD.findall(kept))
     return [
         len(zlib.compress(raw, 6)) / max(1, len(raw)),
         entropy,
@@ -111,7 +114,9 @@ def features(code: str, upstream: frozenset[int]) -> list[float]:
         1 - len(stems) / len(distinct) if distinct else 0.0,
         sum(w[0].isdigit() for w in words) / total,
         math.log1p(max(map(len, words), default=0)),
-        len(runs & upstream) / max(1, len(runs)),
+        # Half a file out of a library makes it a copy, however much more; a quarter may.
+        float(min(2, 4 * len(runs & upstream) // max(1, len(runs)))),
+        long_share,
     ]
 
 
@@ -132,27 +137,40 @@ def judged(files: DataFrame, upstream: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = bounded_rows(upstream.select("code").where("code is not null"), MOST_UPSTREAM, "the library files")
-    known = files.sparkSession.sparkContext.broadcast(frozenset().union(*(shingles(_word_list(bare(r.code))) for r in rows)))
+    known = files.sparkSession.sparkContext.broadcast(frozenset().union(*(shingles(_WORD.findall(bare(r.code))) for r in rows)))
 
     @pandas_udf("struct<said:boolean,features:array<double>>")
     def look(codes: pd.Series, paths: pd.Series) -> pd.DataFrame:
         said = [notice(c) or bool(p and PATHS.search(p)) for c, p in zip(codes, paths)]
         return pd.DataFrame({"said": said, "features": [features(c, known.value) for c in codes]})
 
-    seen = files.where("code is not null").select("file_id", (~F.col("code").rlike(r"\S")).alias("blank"), look("code", "path").alias("l"))
+    seen = files.where("code is not null").select("file_id", F.pmod(F.xxhash64("code"), F.lit(FOLDS)).alias("fold"), (~F.col("code").rlike(r"\S")).alias("blank"), look("code", "path").alias("l"))
     base = checkpointed(
-        seen.select("file_id", "blank", F.col("l.said").alias("labelled"), F.col("l.said").cast("double").alias("label"), array_to_vector("l.features").alias("features"))
+        seen.select("file_id", "fold", "blank", F.col("l.said").alias("labelled"), F.col("l.said").cast("double").alias("label"), array_to_vector("l.features").alias("features"))
     )
     if base.select("label").distinct().count() < 2:
         return base.select("file_id", "labelled", F.col("label").alias("score"))
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8, minInstancesPerNode=3)
     score = vector_to_array("probability")[1]
     positive, negative = _sample(base, 1.0), _sample(base, 0.0)
-    first = forest.fit(positive.unionByName(negative))
-    share = positive.count() / max(1, positive.count() + negative.count())
-    trusted = first.transform(negative).where(score <= max(0.5 * share, 0.12)).select(negative.columns)
-    second = first if trusted.isEmpty() else forest.fit(positive.unionByName(trusted))
-    return second.transform(base).select("file_id", "labelled", F.when(F.col("blank"), 0.0).otherwise(score).alias("score"))
+    n_positive, n_negative = positive.count(), negative.count()
+    # Leaves that hold a hundredth of the labelled rows can't single out the copies of one file.
+    leaf = max(3, n_positive // 100)
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8, minInstancesPerNode=leaf, featureSubsetStrategy="0.7")
+    doubt = max(0.5 * n_positive / max(1, n_positive + n_negative), 0.12)
+    rows = positive.unionByName(negative)
+    # Copies of one file share a fold, so no copy vouches for another when it is scored.
+    parts = []
+    for fold in range(FOLDS):
+        rest, own = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
+        known_both = rest.select("label").distinct().count() == 2
+        told = forest.fit(rest).transform(own).withColumn("s", score) if known_both else own.withColumn("s", F.col("label"))
+        parts.append(told.select(*rows.columns, "s"))
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
+    trusted = checkpointed(scored.where((F.col("label") == 1.0) == (F.col("s") > doubt)).drop("s"))
+    final = forest.fit(trusted if trusted.select("label").distinct().count() == 2 else rows)
+    return final.transform(base).select("file_id", "labelled", F.when(F.col("blank"), 0.0).otherwise(score).alias("score"))
 
 
 def not_hand_written(files: DataFrame, upstream: DataFrame, least: float = 0.5) -> DataFrame:

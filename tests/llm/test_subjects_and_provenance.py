@@ -1,5 +1,7 @@
 """Held-out accuracy of the two trained operators, and their edge cases."""
 
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def files(spark):
     rows += [(100 + i, "gen/t.c", f"/* @generated */\nint g{i}[] = {{\n" + table + "\n};") for i in range(15)] + [(200 + i, "src/t.c", f"int t{i}[] = {{\n" + table + "\n};") for i in range(10)]
     rows += [(300 + i, "static/x.min.js", mini) for i in range(15)] + [(400 + i, "app/y.js", mini.replace("b", "q")) for i in range(10)]
     rows += [(500 + i, "third_party/w/w.c", lib) for i in range(10)] + [(600 + i, "src/w.c", lib.split("\n", 5)[5].replace("slots", "cells") if i % 2 else lib) for i in range(8)]
-    rows += [(700, "src/n.py", None), (701, "src/e.py", ""), (702, "src/b.py", "  \n"), (703, None, hand.format(99)), (704, "src/long.py", hand.format(5) * 2_000)]
+    rows += [(700, "src/n.py", None), (701, "src/e.py", ""), (702, "src/b.py", "  \n"), (703, None, hand.format(99)), (704, "src/long.py", "\n".join(p.read_text() for p in sorted(pathlib.Path(V.__file__).parent.parent.rglob("*.py"))))]
     return spark.createDataFrame(rows, "file_id long, path string, code string").withColumn("label", F.lit("x")).withColumn("score", F.lit(1)), spark.createDataFrame([(lib,), (None,)], "code string")
 
 
