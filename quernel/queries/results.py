@@ -130,8 +130,8 @@ QUERIES = {
         """SELECT arm, step FROM (SELECT arm, max(step) AS step FROM history GROUP BY arm) LEFT JOIN (SELECT arm, max(step) AS done FROM history WHERE val_ce IS NOT NULL GROUP BY arm) USING (arm) WHERE done IS NULL OR step > done""",
     ),
     "r9_staleness": (
-        lambda s, d: X.gaps(table(s, d, "events"), ["event_type"], "ts", 420),
-        "SELECT event_type, ts, round(g / 1e6, 3) AS gap_s FROM (SELECT event_type, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) AS g FROM events) WHERE g > 420000000",
+        lambda s, d: X.gaps(table(s, d, "events"), ["event_type"], "ts", 420).select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "gap_s"),
+        "SELECT event_type, epoch_us(ts) AS ts_us, round(g / 1e6, 3) AS gap_s FROM (SELECT event_type, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type ORDER BY ts)) AS g FROM events) WHERE g > 420000000",
     ),
     "r10_trends": (
         lambda s, d: (lambda v: v.select("run_id", "arm", "step", F.round(F.col("ce") - F.lag("ce").over(Window.partitionBy("run_id", "arm").orderBy("step")), 6).alias("delta"), F.min("ce").over(Window.partitionBy("run_id", "arm").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)).alias("best")))(

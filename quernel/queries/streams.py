@@ -10,9 +10,9 @@ from quernel.streaming import monitors as M
 CENTS = "CAST(round(value * 100) AS BIGINT)"
 
 
-def naive(df, *columns):
-    """Times without a zone, as the tables have them."""
-    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c in ("start", "end") else F.col(c) for c in columns])
+def in_micros(df, *columns):
+    """``columns`` with the start as microseconds since 1970."""
+    return df.select(F.unix_micros("start").alias("start_us"), *columns)
 
 
 QUERIES = {
@@ -25,15 +25,15 @@ QUERIES = {
         """SELECT source AS stream, CAST(n // 257 AS BIGINT) AS n_windows, CAST(n // 257 - 1 AS BIGINT) AS last FROM (SELECT source, sum(len(regexp_extract_all(text, '\\S+'))) AS n FROM documents GROUP BY source) WHERE n >= 257""",
     ),
     "ext_tumbling_counts": (
-        lambda s, d: naive(M.drained(M.tumbling_counts(M.file_stream(s, d, "events"), "ts", "1 day", "event_type"), "complete"), "start", "event_type", "n"),
-        "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
+        lambda s, d: in_micros(M.drained(M.tumbling_counts(M.file_stream(s, d, "events"), "ts", "1 day", "event_type"), "complete"), "event_type", "n"),
+        "SELECT epoch_us(CAST(date_trunc('day', ts) AS TIMESTAMP)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL",
     ),
     "ext_sliding_sums": (
-        lambda s, d: naive(M.drained(M.sliding_means(M.file_stream(s, d, "events"), "ts", F.round(F.col("value") * 100).cast("long"), "2 days", "1 day", "event_type"), "complete"), "start", "event_type", "total", "n"),
-        f"""SELECT CAST(date_trunc('day', ts) - to_days(k) AS TIMESTAMP) AS start, event_type, CAST(sum({CENTS}) AS BIGINT) AS total, count(*) AS n FROM events, (VALUES (0), (1)) t(k) GROUP BY ALL""",
+        lambda s, d: in_micros(M.drained(M.sliding_means(M.file_stream(s, d, "events"), "ts", F.round(F.col("value") * 100).cast("long"), "2 days", "1 day", "event_type"), "complete"), "event_type", "total", "n"),
+        f"""SELECT epoch_us(CAST(date_trunc('day', ts) - to_days(k) AS TIMESTAMP)) AS start_us, event_type, CAST(sum({CENTS}) AS BIGINT) AS total, count(*) AS n FROM events, (VALUES (0), (1)) t(k) GROUP BY ALL""",
     ),
     "ext_user_sessions": (
-        lambda s, d: naive(M.drained(M.sessions(M.file_stream(s, d, "events"), "ts", "420 seconds", "user_id"), "complete"), "start", "user_id", "n"),
-        """SELECT min(ts) AS start, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 420 SECONDS THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g""",
+        lambda s, d: in_micros(M.drained(M.sessions(M.file_stream(s, d, "events"), "ts", "420 seconds", "user_id"), "complete"), "user_id", "n"),
+        """SELECT epoch_us(min(ts)) AS start_us, user_id, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 420 SECONDS THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, g""",
     ),
 }
