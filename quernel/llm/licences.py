@@ -46,7 +46,9 @@ NAMES = (
 )
 _TAIL = r"(?:[\s_-]+(?:only|or[\s_-]later)|\+)?(?:\s+licen[sc]e)?"
 _NAME = re.compile("|".join(f"(?P<n{i}>(?<![a-z0-9.-])(?:{p}){_TAIL}(?![a-z0-9]))" for i, (_, p) in enumerate(NAMES)), re.I)
-_JOINER = r"\s*(?:,?\s*\bor\b,?(?:\s*at your option,)?|/|\|)\s*(?:the\s+)*"
+_JOINER = re.compile(r"\s*(?:,?\s*\bor\b,?(?:\s*at your option,)?|/|\|)\s*(?:the\s+)*", re.I)
+_ARTICLE = re.compile(r"(?:the\s+)*", re.I)
+_CHOICE = re.compile(r"(?:either\s+)?(?:the\s+)*", re.I)
 #: Phrases that declare; what follows them is a name or several to choose from.
 _DECLARES = re.compile(
     r"spdx-license-identifier:\s*|@licen[sc]e[ \t]+|(?:^|\|)[ \t]*licen[sc]e:[ \t]*|\blicen[sc]ed\s+under\s+|\bdistributed\s+under\s+"
@@ -156,10 +158,10 @@ def _declared(text: str) -> list[frozenset[str]]:
     out = []
     for intro in _DECLARES.finditer(text):
         at, ids = intro.end(), set()
-        start = re.compile(r"(?:either\s+)?(?:the\s+)*", re.I).match(text, at).end()
+        start = _CHOICE.match(text, at).end()
         while m := _NAME.match(text, start):
             ids.add(_id(m))
-            joiner = re.compile(_JOINER, re.I).match(text, m.end())
+            joiner = _JOINER.match(text, m.end())
             if not joiner:
                 break
             start = joiner.end()
@@ -178,10 +180,10 @@ class LicenceReader:
     def field(self, value: str | None) -> list[frozenset[str]]:
         """A declared licence field: a name, or names joined by or; anything else states nothing."""
         text = (value or "").strip()
-        ids, at = set(), re.compile(r"(?:the\s+)*", re.I).match(text).end()
+        ids, at = set(), _ARTICLE.match(text).end()
         while m := _NAME.match(text, at):
             ids.add(_id(m))
-            joiner = re.compile(_JOINER, re.I).match(text, m.end())
+            joiner = _JOINER.match(text, m.end())
             if not joiner:
                 return self._kept([frozenset(ids)]) if not text[m.end() :].strip(" .;)") else []
             at = joiner.end()
