@@ -44,16 +44,31 @@ SEEN = "coalesce(substring(text, 1, 2000), '')"
 BUCKETS = "CASE CAST(('0x' || substr(md5('register|' || coalesce(substring(text, 1, 200), '')), 1, 8)) AS BIGINT) % 4 WHEN 0 THEN 'nlp_news' WHEN 1 THEN 'nlp_opinion' WHEN 2 THEN 'nlp_narrative' ELSE 'nlp_reference' END"
 
 
-def classified(spark, d):
+WHOLE = "coalesce(text, '')"
+WHOLE_BUCKETS = BUCKETS.replace("coalesce(substring(text, 1, 200), '')", WHOLE)
+
+
+def classified(spark, d, sample=2000):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", C.classified(F.col("text"), C.DOMAINS, F.lit("nlp"), 2000, 4).alias("label"))
+    return docs.select("doc_id", C.classified(F.col("text"), C.DOMAINS, F.lit("nlp"), sample, 4).alias("label"))
 
 
-def register(spark, d):
+def register(spark, d, sample=2000):
+    """Without a hit the bucket is drawn by the hash of the start, or of the whole text where that is classified."""
     docs = table(spark, d, "documents")
     names = F.array(*[F.lit(x.name) for x in C.REGISTERS])
-    fallback = F.element_at(names, (H.hash_int("register", F.coalesce(F.substring("text", 1, 200), F.lit(""))) % 4 + 1).cast("int"))
-    return docs.select("doc_id", C.classified(F.col("text"), C.REGISTERS, fallback, 2000, 1).alias("label"))
+    drawn_by = F.substring("text", 1, 200) if sample else F.col("text")
+    fallback = F.element_at(names, (H.hash_int("register", F.coalesce(drawn_by, F.lit(""))) % 4 + 1).cast("int"))
+    return docs.select("doc_id", C.classified(F.col("text"), C.REGISTERS, fallback, sample, 1).alias("label"))
+
+
+def two_levels(spark, d, sample=2000):
+    top = classified(spark, d, sample).withColumnRenamed("label", "top")
+    return top.join(register(spark, d, sample), "doc_id").select("doc_id", F.when(F.col("top") == "nlp", F.col("label")).otherwise(F.col("top")).alias("label"))
+
+
+def label_distribution(spark, d, sample=2000):
+    return classified(spark, d, sample).join(table(spark, d, "documents").select("doc_id", "domain"), "doc_id").groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def line_offsets(spark, d):
@@ -286,11 +301,26 @@ QUERIES = {
     "c1_domain_classifier": (classified, _classified(SEEN, C.DOMAINS, "'nlp'", 4)),
     "c2_register_classifier": (register, _classified(SEEN, C.REGISTERS, BUCKETS, 1)),
     "c3_two_levels": (
-        lambda s, d: classified(s, d).withColumnRenamed("label", "top").join(register(s, d), "doc_id").select("doc_id", F.when(F.col("top") == "nlp", F.col("label")).otherwise(F.col("top")).alias("label")),
+        two_levels,
         f"SELECT a.doc_id, CASE WHEN a.label = 'nlp' THEN b.label ELSE a.label END AS label FROM ({_classified(SEEN, C.DOMAINS, chr(39) + 'nlp' + chr(39), 4)}) a JOIN ({_classified(SEEN, C.REGISTERS, BUCKETS, 1)}) b USING (doc_id)",
     ),
     "c4_label_distribution": (
-        lambda s, d: classified(s, d).join(table(s, d, "documents").select("doc_id", "domain"), "doc_id").groupBy("domain", "label").agg(F.count(F.lit(1)).alias("n")),
+        label_distribution,
         f"SELECT domain, label, count(*) AS n FROM documents JOIN ({_classified(SEEN, C.DOMAINS, chr(39) + 'nlp' + chr(39), 4)}) USING (doc_id) GROUP BY ALL",
     ),
+    # The same on whole texts; those above see a text's leading sample (P8), as the reference does.
+    "s5_whole_texts": (
+        lambda s, d: classified(s, d, None).where("label <> 'nlp'"),
+        f"SELECT * FROM ({_classified(WHOLE, C.DOMAINS, chr(39) + 'nlp' + chr(39), 4)}) WHERE label <> 'nlp'",
+    ),
+    "c1_whole_texts": (lambda s, d: classified(s, d, None), _classified(WHOLE, C.DOMAINS, "'nlp'", 4)),
+    "c2_whole_texts": (lambda s, d: register(s, d, None), _classified(WHOLE, C.REGISTERS, WHOLE_BUCKETS, 1)),
+    "c3_whole_texts": (
+        lambda s, d: two_levels(s, d, None),
+        f"SELECT a.doc_id, CASE WHEN a.label = 'nlp' THEN b.label ELSE a.label END AS label FROM ({_classified(WHOLE, C.DOMAINS, chr(39) + 'nlp' + chr(39), 4)}) a JOIN ({_classified(WHOLE, C.REGISTERS, WHOLE_BUCKETS, 1)}) b USING (doc_id)",
+    ),
+    "c4_whole_texts": (
+        lambda s, d: label_distribution(s, d, None),
+        f"SELECT domain, label, count(*) AS n FROM documents JOIN ({_classified(WHOLE, C.DOMAINS, chr(39) + 'nlp' + chr(39), 4)}) USING (doc_id) GROUP BY ALL",
+    ),
 }

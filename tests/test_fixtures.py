@@ -11,6 +11,7 @@ from quernel.functions import ordering as H
 from quernel.functions import text as T
 from quernel.operators import compose, evaluation, packing, quality, results, sampling, series, vectors
 from quernel.plans.scan import neighbour, prefix_sum
+from quernel.queries.corpus import QUERIES as CORPUS
 from quernel.session import bounded_rows
 from quernel.sources import readers
 
@@ -142,6 +143,15 @@ def test_domain_classifier(spark, text, label):
     assert df.select(C.classified(F.col("t"), C.DOMAINS, F.lit("nlp"), 2000, 4).alias("x")).first().x == label
 
 
+def test_classifiers_read_whole_texts(spark, tmp_path):
+    late = "word " * 500 + "arxiv abstract hypothesis methodology according to officials"
+    spark.createDataFrame([(1, "a", late), (2, "a", "word " * 500), (3, "b", None)], "doc_id long, domain string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {n: {r.doc_id: r.label for r in CORPUS[n][0](spark, str(tmp_path)).collect()} for n in ("s5_whole_texts", "c1_whole_texts", "c2_whole_texts", "c3_whole_texts")}
+    assert found["s5_whole_texts"] == {1: "science"} and found["c1_whole_texts"] == {1: "science", 2: "nlp", 3: "nlp"}
+    assert found["c2_whole_texts"][1] == "nlp_news" and found["c3_whole_texts"][1] == "science"
+    assert {tuple(r) for r in CORPUS["c4_whole_texts"][0](spark, str(tmp_path)).collect()} == {("a", "science", 1), ("a", "nlp", 1), ("b", "nlp", 1)}
+
+
 def test_text_functions(spark):
     assert one(spark, T.snippet(F.col("a"), 2), a=" one  two\nthree") == "one two"
     assert one(spark, T.strip_signs(F.col("a")), a='"Hello!"') == "Hello"
