@@ -130,8 +130,10 @@ class TemplateAutomaton:
             for key, at in set(self.ends[state]):
                 mine = chains.setdefault(key, [])
                 best = None
-                for c in reversed(mine[-64:]):  # chain: [first word, end word, end in template, matched]
-                    if end - size >= c[1] - LEAST_WORDS and 0 < at + 1 - c[2] and end - size - c[1] <= GAP_WORDS and at + 1 - size - c[2] <= GAP_WORDS:
+                for c in reversed(mine):  # chain: [first word, end word, end in template, matched]
+                    if end - size - c[1] > GAP_WORDS:
+                        break  # starts and ends only grow, so no earlier chain is near enough either
+                    if end - size >= c[1] - LEAST_WORDS and 0 < at + 1 - c[2] and at + 1 - size - c[2] <= GAP_WORDS:
                         if best is None or c[3] > best[3]:
                             best = c
                 if best:

@@ -39,6 +39,14 @@ def test_maximal_matches_are_those_of_direct_search(templates):
                 assert bodies[key][at + 1 - size : at + 1] == list(run)
 
 
+def test_chains_hold_over_a_phrase_that_a_template_repeats():
+    first, last = [f"a{i}" for i in range(400)], [f"z{i}" for i in range(400)]
+    again = " ".join(f"of the licence u{i}" for i in range(150))
+    automaton = L.TemplateAutomaton({"long": f"{' '.join(first)} q of the licence r {' '.join(last)} {again}"})
+    words = [*first, "x", "of", "the", "licence", "y", *last]
+    assert [(k, a, b) for k, a, b, _ in automaton.located(words)] == [("long", 0, len(words))]
+
+
 @pytest.mark.parametrize("name,want", [
     ("MIT", "mit"), (" mit", "mit"), ("The MIT licence", "mit"), ("Expat", "mit"), ("Apache License, Version 2.0", "apache-2.0"), ("apache_2.0", "apache-2.0"), ("ASL 2.0", "apache-2.0"), ("New BSD License", "bsd-3-clause"),
     ("FreeBSD-style licence", "bsd-2-clause"), ("GNU Lesser General Public License v2.1", "lgpl-2.1"), ("GNU Affero General Public License v3", "agpl-3.0"), ("GNU GPL, version 3", "gpl-3.0"), ("GPLv2", "gpl-2.0"),
