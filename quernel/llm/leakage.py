@@ -3,6 +3,8 @@
 Texts and test items are folded to the same byte string: look-alike letters become one letter, case, markup,
 entities, layout, punctuation and invisible characters go. Each item is tiled with patterns of ``LENGTH``
 bytes, one every ``STEP`` bytes, so that any run of LENGTH + STEP - 1 unchanged bytes holds a whole pattern.
+Items of which ``least`` is shorter than such a run are tiled at every byte, with patterns no longer than that
+share of any of them, in tables of their own.
 The search reads the block of ``BLOCK`` bytes at the window's end: the shift table says how far no pattern can
 end, the bucket of a block with shift 0 lists the patterns that end in it, and comparison confirms them.
 Every confirmed occurrence is then widened over replaced words to the stretch of the item it belongs to; an
@@ -12,6 +14,7 @@ item has leaked into a text if one or two stretches in order hold at least ``lea
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -56,43 +59,56 @@ def fold(text: str) -> bytes:
     return text.encode("utf-8", "ignore").translate(None, _DROPPED)
 
 
-class LeakSearch:
-    """The tables of the search over a bounded set of items, and the search itself."""
+class _Patterns:
+    """Wu-Manber tables: every item tiled with patterns of ``length`` bytes, one every ``step`` bytes."""
 
-    def __init__(self, items: dict[int, str], least: float = 0.5):
-        self.least = least
-        self.items = {k: f for k, text in items.items() if text and (f := fold(text))}
-        self.backward = {k: f[::-1] for k, f in self.items.items()}
-        self.short = {k: f for k, f in self.items.items() if len(f) < LENGTH}
-        self.far = LENGTH - BLOCK + 1
+    def __init__(self, items: dict[int, bytes], length: int, step: int):
+        self.length, self.far = length, length - BLOCK + 1
         self.shift: dict[bytes, int] = {}
         self.bucket: dict[bytes, list[tuple[bytes, int, int]]] = defaultdict(list)
-        for key, folded in self.items.items():
-            if key in self.short:
-                continue
-            starts = sorted({*range(0, len(folded) - LENGTH + 1, STEP), len(folded) - LENGTH})
+        for key, folded in items.items():
+            starts = sorted({*range(0, len(folded) - length + 1, step), len(folded) - length})
             for start in starts:
-                pattern = folded[start : start + LENGTH]
-                for end in range(BLOCK, LENGTH + 1):
+                pattern = folded[start : start + length]
+                for end in range(BLOCK, length + 1):
                     block = pattern[end - BLOCK : end]
-                    self.shift[block] = min(self.shift.get(block, self.far), LENGTH - end)
+                    self.shift[block] = min(self.shift.get(block, self.far), length - end)
                 self.bucket[pattern[-BLOCK:]].append((pattern, key, start))
 
-    def occurrences(self, text: bytes) -> dict[int, list[tuple[int, int]]]:
-        """Item -> (place in the text, place in the item) of every pattern that occurs in the folded text."""
-        found: dict[int, list[tuple[int, int]]] = {}
-        shift, far, end, stop = self.shift.get, self.far, LENGTH, len(text)
+    def search(self, text: bytes, found: dict[int, list[tuple[int, int]]]) -> None:
+        length, shift, far, end, stop = self.length, self.shift.get, self.far, self.length, len(text)
         while end <= stop:
             block = text[end - BLOCK : end]
             by = shift(block, far)
             if by:
                 end += by
                 continue
-            window = text[end - LENGTH : end]
+            window = text[end - length : end]
             for pattern, key, start in self.bucket[block]:
                 if pattern == window:
-                    found.setdefault(key, []).append((end - LENGTH, start))
+                    found.setdefault(key, []).append((end - length, start))
             end += 1
+
+
+class LeakSearch:
+    """The tables of the search over a bounded set of items, and the search itself."""
+
+    def __init__(self, items: dict[int, str], least: float = 0.5):
+        self.least = least
+        self.items = {k: f for k, text in items.items() if text and (f := fold(text))}
+        self.backward = {k: f[::-1] for k, f in self.items.items()}
+        self.short = {k: f for k, f in self.items.items() if len(f) < LENGTH}
+        needed = {k: math.ceil(least * len(f)) for k, f in self.items.items() if k not in self.short}
+        fine = {k: n for k, n in needed.items() if BLOCK <= n < LENGTH + STEP - 1}
+        groups = [({k: self.items[k] for k in needed if k not in fine}, LENGTH, STEP), ({k: self.items[k] for k in fine}, min([LENGTH, *fine.values()]), 1)]
+        self.tables = [_Patterns(*g) for g in groups if g[0]]
+        self.size = {k: length for own, length, _ in groups for k in own}
+
+    def occurrences(self, text: bytes) -> dict[int, list[tuple[int, int]]]:
+        """Item -> (place in the text, place in the item) of every pattern that occurs in the folded text."""
+        found: dict[int, list[tuple[int, int]]] = {}
+        for table in self.tables:
+            table.search(text, found)
         return found
 
     def leaked(self, raw: str | None) -> list[tuple[int, float]]:
@@ -110,12 +126,12 @@ class LeakSearch:
         return sorted(out)
 
     def _share(self, text: bytes, back: bytes, key: int, hits: list[tuple[int, int]]) -> float:
-        item, item_back = self.items[key], self.backward[key]
+        item, item_back, length = self.items[key], self.backward[key], self.size[key]
         stretches: list[tuple[int, int, int, int]] = []
         live: list[tuple[int, int, int, int]] = []
         for j, i in sorted(hits):
-            live = [x for x in live if x[3] >= j + LENGTH]
-            if any(a <= i and i + LENGTH <= b and c <= j for a, b, c, _ in live):
+            live = [x for x in live if x[3] >= j + length]
+            if any(a <= i and i + length <= b and c <= j for a, b, c, _ in live):
                 continue
             b, d = _forward(item, text, i, j)
             a, c = _forward(item_back, back, len(item) - i, len(text) - j)

@@ -31,6 +31,17 @@ def leaked(doc):
     return [k for k, _ in L.LeakSearch(ITEMS).leaked(doc)]
 
 
+def test_an_exact_half_of_a_short_item_is_found():
+    for seed in range(8):
+        letters = random.Random(seed)
+        for n in range(L.LENGTH, 2 * (L.LENGTH + L.STEP) + 1):
+            item, half = "".join(letters.choice("bcdfghjkmnpqrstvwxz") for _ in range(n)), (n + 1) // 2
+            search = L.LeakSearch({**ITEMS, 90: item})
+            for start in range(n - half + 1):
+                assert [k for k, _ in search.leaked("0" * 40 + item[start : start + half] + "1" * 40)] == [90], (n, start)
+            assert search.leaked("0" * 40 + item[: half - 1] + "1" * 40) == []
+
+
 def test_disguises():
     item = ITEMS[3]
     pad = text(99, 30)
