@@ -55,14 +55,16 @@ def compression(s, d):
     return out.withColumn("tokens_per_word", F.round(F.col("n_tokens") / F.greatest("n_words", F.lit(1)), 6)).withColumn("bytes_per_token", F.round(F.col("n_bytes") / F.greatest("n_tokens", F.lit(1)), 6))
 
 
-def bytes_per_token(s, d, pooled):
+def bytes_per_token(s, d, pooled, most=150):
+    """Over the first ``most`` documents of each domain in hash order (None: over all)."""
     docs = table(s, d, "documents").where(T.not_blank(F.col("text")) & F.col("domain").isNotNull()).select("domain", "doc_id", F.size(T.words_and_signs(F.col("text"))).cast("long").alias("t"), T.byte_count(F.col("text")).alias("b"))
-    first = H.hash_ranked(docs, "bpt", "doc_id", ["domain"]).where("rank <= 150")
+    first = H.hash_ranked(docs, "bpt", "doc_id", ["domain"]).where(F.col("rank") <= most) if most else docs
     keys = [] if pooled else ["domain"]
     return first.groupBy(*keys).agg(F.round(F.sum("b") / F.sum("t"), 6).alias("bytes_per_token"), F.count(F.lit(1)).alias("n_docs"))
 
 
 FIRST = f"SELECT domain, len({SIGNS}) AS t, octet_length(encode(text)) AS b FROM documents WHERE regexp_matches(text, '\\S') AND domain IS NOT NULL QUALIFY row_number() OVER (PARTITION BY domain ORDER BY md5('bpt|' || doc_id), doc_id) <= 150"
+EVERY = f"SELECT domain, len({SIGNS}) AS t, octet_length(encode(text)) AS b FROM documents WHERE regexp_matches(text, '\\S') AND domain IS NOT NULL"
 
 QUERIES = {
     "a1_words_per_side": (
@@ -90,6 +92,8 @@ QUERIES = {
     ),
     "a9_bytes_per_token": (lambda s, d: bytes_per_token(s, d, False), f"SELECT domain, round(sum(b)::DOUBLE / sum(t), 6) AS bytes_per_token, count(*) AS n_docs FROM ({FIRST}) GROUP BY domain"),
     "a10_pooled_bytes_per_token": (lambda s, d: bytes_per_token(s, d, True), f"SELECT round(sum(b)::DOUBLE / sum(t), 6) AS bytes_per_token, count(*) AS n_docs FROM ({FIRST})"),
+    "a9_all_documents": (lambda s, d: bytes_per_token(s, d, False, None), f"SELECT domain, round(sum(b)::DOUBLE / sum(t), 6) AS bytes_per_token, count(*) AS n_docs FROM ({EVERY}) GROUP BY domain"),
+    "a10_all_documents": (lambda s, d: bytes_per_token(s, d, True, None), f"SELECT round(sum(b)::DOUBLE / sum(t), 6) AS bytes_per_token, count(*) AS n_docs FROM ({EVERY})"),
     "a12_blend_provenance": (
         lambda s, d: table(s, d, "shard_source").groupBy("shard_id", "source").agg(F.round(F.sum("target_weight"), 6).alias("target_weight"), F.sum(F.coalesce("actual_tokens", F.lit(0.0))).alias("actual_tokens"))
         .withColumn("actual_fraction", F.round(F.col("actual_tokens") / F.nullif(F.sum("actual_tokens").over(Window.partitionBy("shard_id")), F.lit(0.0)), 6)),

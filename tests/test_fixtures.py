@@ -12,6 +12,7 @@ from quernel.functions import text as T
 from quernel.operators import compose, evaluation, packing, quality, results, sampling, series, vectors
 from quernel.plans.scan import neighbour, prefix_sum
 from quernel.queries.corpus import QUERIES as CORPUS
+from quernel.queries.tokens import QUERIES as TOKENS
 from quernel.session import bounded_rows
 from quernel.sources import readers
 
@@ -152,6 +153,13 @@ def test_classifiers_read_whole_texts(spark, tmp_path):
     assert {tuple(r) for r in CORPUS["c4_whole_texts"][0](spark, str(tmp_path)).collect()} == {("a", "science", 1), ("a", "nlp", 1), ("b", "nlp", 1)}
 
 
+def test_bytes_per_token_of_all_documents(spark, tmp_path):
+    spark.createDataFrame([(i, "a", "ab cd" if i % 2 else "abcd") for i in range(400)] + [(400, "b", " "), (401, None, "x")], "doc_id long, domain string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = round((200 * 5 + 200 * 4) / 600, 6)
+    assert [tuple(r) for r in TOKENS["a9_all_documents"][0](spark, str(tmp_path)).collect()] == [("a", want, 400)]
+    assert [tuple(r) for r in TOKENS["a10_all_documents"][0](spark, str(tmp_path)).collect()] == [(want, 400)]
+
+
 def test_text_functions(spark):
     assert one(spark, T.snippet(F.col("a"), 2), a=" one  two\nthree") == "one two"
     assert one(spark, T.strip_signs(F.col("a")), a='"Hello!"') == "Hello"
