@@ -218,7 +218,7 @@ class Splitter:
         if mark in ("...", "…") and (at == start or text[at - 1].isspace()):
             return end, -1  # a pause; four dots end the sentence
         quoted = end > bare and text[end - 1] in "\"”»“"
-        if quoted and mark[-1] in "?!" and _attributed(text, to, stop, following):
+        if quoted and mark[-1] in "?!" and attributed(text, to, stop, following):
             return end, -1
         if mark == "." and end == bare:
             before = _token(text, start, at)
@@ -283,7 +283,7 @@ def _token(text: str, start: int, at: int) -> str:
     return m.group().lstrip(".-'’") if m else ""
 
 
-def _attributed(text: str, to: int, stop: int, following: str) -> bool:
+def attributed(text: str, to: int, stop: int, following: str) -> bool:
     """Whether the words behind a quotation attribute it: a verb, or a name and its verb, but no new speech."""
     if following.lower() in ATTRIBUTING:
         return True

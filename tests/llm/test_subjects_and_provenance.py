@@ -2,18 +2,17 @@
 
 import pathlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quernel.llm import provenance as V
-from quernel.llm import sentences
 from quernel.llm import subjects as S
 
 
 def test_units_and_terms():
-    splitter = sentences.Splitter()
-    assert S.units("<domain:en>\nA cat sat. It ran far\naway.\nBP 1/2, HR 3\nBP 4/5, HR 6\n<|endofdoc|>", splitter) == ["A cat sat.", "It ran far away.", "BP 1/2, HR 3", "BP 4/5, HR 6"]
-    assert S.terms("The x1 = 42 $ cat&") == ["the", "#1", "=", "#2", "$", "cat", "&"]
+    assert S.units("<domain:en>\nA cat sat. It ran far\naway.\nBP 1/2, HR 3\nBP 4/5, HR 6\n<|endofdoc|>") == ["A cat sat.", "It ran far away.", "BP 1/2, HR 3", "BP 4/5, HR 6"]
+    assert S.terms("The x1 = 42 $ cat&") == ["the", "=", "$", "cat", "&"]
 
 
 def corpus(spark, rows=240):
@@ -48,6 +47,24 @@ def test_subjects_on_unlabelled_rows(spark):
     assert sum(got[i] == truth[i] for i in held_out) >= 0.9 * len(held_out)
 
 
+def test_subjects_come_from_leaves(spark, monkeypatch):
+    texts, truth, subjects = corpus(spark)
+    areas = spark.createDataFrame([(s,) for s in subjects], "subject string")
+    labels = spark.createDataFrame([(i, s) for i, t in truth.items() for s in t], "row_id long, subject string")
+    monkeypatch.setattr(S, "label_leaves", lambda leaf_counts, subject_counts, otherwise: np.full(len(leaf_counts), otherwise))
+    assert {r.subject for r in S.assigned_subjects(texts, areas, labels).collect()} == {"general"}
+
+
+def test_subjects_by_languages_in_groups(spark, monkeypatch):
+    texts, truth, subjects = corpus(spark, 120)
+    twice = texts.where("lang is not null").unionByName(texts.where("lang is not null").withColumn("lang", F.lit("fr")).withColumn("row_id", F.col("row_id") + 1000))
+    areas = spark.createDataFrame([(s,) for s in subjects], "subject string")
+    labels = spark.createDataFrame([(i + x, s) for i, t in truth.items() for s in t for x in (0, 1000)], "row_id long, subject string")
+    want = sorted(map(tuple, S.assigned_subjects(twice, areas, labels).collect()))
+    monkeypatch.setattr(S, "LANGUAGES_AT_ONCE", 1)
+    assert sorted(map(tuple, S.assigned_subjects(twice.repartition(7), areas, labels).collect())) == want
+
+
 def test_subjects_of_nothing(spark):
     areas = spark.createDataFrame([("law",)], "subject string")
     labels = spark.createDataFrame([], "row_id long, subject string")
