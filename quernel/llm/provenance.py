@@ -1,12 +1,15 @@
 """Generated, minified, vendored and data files among source files (problem 3).
 
-Some files say what they are, in a header notice or in where they lie (``gen/``, ``x.min.js``,
-``third_party/lib/``). These are the labels, and both are hidden from the features: notices are taken out before
-anything is measured, every feature but the comment density is computed on the code without its comments,
-and paths are no feature. A random forest is trained twice on compression ratio, token entropy, identifier lengths, comment
-density and the like: the first, fitted on the other folds, tells which files without a label look like
-labelled ones, and the second is trained without those, as they aren't known to be hand-written. Labelled files are cases; other
-files are cases where the second forest says so.
+Some files say in a header notice that they weren't written by hand, some lie where such files lie (``gen/``,
+``x.min.js``, ``third_party/lib/``). These are the labels, and both are hidden from the features: notices are taken out
+before anything is measured, every feature but the comment density is computed on the code without its
+comments, and paths are no feature. A random forest is trained twice on compression ratio, token entropy, identifier
+lengths, comment density and the like, and overlap with library files: the first, fitted on the other folds, tells which
+files without a label look like labelled ones and the other way round, and the second is trained without those, as
+what they are isn't known. The second forest scores every file, labelled or not.
+
+A file is a case where the forest says so, or where its own notice does: generated code can look as if written by
+hand, and then nothing but the notice tells. A path alone makes no case; hand-written files lie in such folders too.
 
 The forest is fitted on at most ``MOST_ROWS`` rows of each label, drawn by hash; every file is scored.
 """
@@ -18,21 +21,20 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quernel.session import bounded_rows, checkpointed
+from quernel.session import checkpointed
 
 #: Rows of each label that a forest is fitted on at most.
 MOST_ROWS = 20_000
-#: Library files beyond this are refused rather than broadcast as shingles.
-MOST_UPSTREAM = 20_000
+#: Runs of library words up to this many are broadcast; beyond it files' runs are joined to them by shuffle.
+MOST_RUNS = 5_000_000
 SHINGLE = 5
-#: With more other lines than this, a file's longest line is measured by its share only.
-OTHER_LINES = 5
-TREES, DEPTH, SEED, FOLDS = 40, 6, 7, 3
+TREES, DEPTH, SEED, FOLDS = 40, 6, 7, 2
 
 # What files say of themselves, in header comments and in paths.
 NOTICES = re.compile(
@@ -50,132 +52,200 @@ PATHS = re.compile(
     re.I,
 )
 
-_COMMENT = re.compile(r"/\*.*?\*/|(?<![:\w])//[^\n]*|^[ \t]*\"{3}.*?\"{3}[ \t]*$|(?<=\n)[ \t]*#(?!include|define|if|end|pragma)[^\n]*|\A#[^\n]*|(?<=\n)--[^\n]*|\A--[^\n]*", re.S | re.M)
+#: Comments and strings, whichever starts first: what looks like a comment inside a string is none.
+_PARTS = re.compile(
+    r"(?P<comment>/\*.*?\*/|(?<![:\w])//[^\n]*|^[ \t]*(?:\"{3}.*?\"{3}|'{3}.*?'{3})[ \t]*$|^[ \t]*#(?!include|define|if|end|pragma)[^\n]*|^--[^\n]*)"
+    r"|\"{3}.*?\"{3}|'{3}.*?'{3}|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'",
+    re.S | re.M,
+)
 _WORD = re.compile(r"\w+")
-_IDENTIFIER = re.compile(r"[A-Za-z_]\w*")
 _SHAPE_WORD, _SHAPE_NUMBER = re.compile(r"[A-Za-z_]+"), re.compile(r"\d+")
 
 FEATURES = (
     "compression", "entropy", "ident_mean", "ident_spread", "comment_density", "digits", "blanks", "line_mean", "line_longest",
-    "line_repeats", "stem_repeats", "numbers", "longest_token", "upstream", "long_share",
+    "line_repeats", "stem_repeats", "numbers", "longest_token", "long_share", "upstream",
 )
 
 
+def parted(code: str) -> tuple[str, list[str]]:
+    """The code without its comments, and the comments."""
+    comments: list[str] = []
+
+    def take(m: re.Match) -> str:
+        if m.lastgroup is None:
+            return m.group()
+        comments.append(m.group())
+        return ""
+
+    return _PARTS.sub(take, code), comments
+
+
 def notice(code: str | None) -> bool:
     """Whether a comment says that the file was not written by hand here. Strings in the code don't count."""
-    return bool(code) and any(NOTICES.search(m.group()) for m in _COMMENT.finditer(code))
+    return bool(code) and any(map(NOTICES.search, parted(code)[1]))
 
 
-def shingles(words: list[str]) -> set[int]:
-    """Hashes of the runs of ``SHINGLE`` words."""
-    return {zlib.crc32(" ".join(words[i : i + SHINGLE]).encode()) for i in range(max(0, len(words) - SHINGLE + 1))}
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        return h
 
 
-def bare(code: str) -> str:
-    """The code without its comments."""
-    return _COMMENT.sub("", code)
+_hash = _Hashes()
 
 
-def features(code: str, upstream: frozenset[int]) -> list[float]:
-    """The values of ``FEATURES`` for one file, its notices taken out first."""
-    code = _COMMENT.sub(lambda m: "" if NOTICES.search(m.group()) else m.group(), code).strip()
-    body = bare(code).strip()
-    kept = body if body.strip() else code
-    lines = [x for x in kept.split("\n") if x.strip()] or [""]
+def runs(words: list[str]) -> np.ndarray:
+    """Distinct hashes of the runs of ``SHINGLE`` words, sorted."""
+    n = len(words) - SHINGLE + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    h = np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
+    out = np.zeros(n, np.uint64)
+    for i in range(SHINGLE):
+        out = (out ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out.view(np.int64))
+
+
+def _without(raw: bytes, signs: bytes) -> float:
+    return (len(raw) - len(raw.translate(None, signs))) / max(1, len(raw))
+
+
+def features(code: str) -> tuple[bool, list[float], np.ndarray]:
+    """(whether the file has a notice, the values of ``FEATURES`` but the last, its runs of words).
+
+    The longest line is left out of all but its own share where there are others: one long line, or a table in one
+    line, doesn't make a file.
+    """
+    body, comments = parted(code)
+    told = [c for c in comments if not NOTICES.search(c)]
+    body = body.strip()
+    kept = body or "".join(told)
+    lines = [x for x in kept.split("\n") if x and not x.isspace()] or [""]
     longest = max(lines, key=len)
     long_share = len(longest) / max(1, sum(map(len, lines)))
-    if len(lines) > OTHER_LINES:  # one long line, or a table in one line, doesn't make a file
+    if len(lines) > 1:
         lines.remove(longest)
-        kept = "\n".join(lines)
-    size = max(1, len(kept))
+    kept = "\n".join(lines)
     raw = kept.encode("utf-8", "replace")
     words = _WORD.findall(kept)
     count = Counter(words)
     total = max(1, len(words))
-    entropy = -sum(n / total * math.log2(n / total) for n in count.values()) / max(1.0, math.log2(total))
-    identifiers = [w for w in words if _IDENTIFIER.fullmatch(w)]
-    lengths = [len(w) for w in identifiers] or [0]
-    mean = sum(lengths) / len(lengths)
-    distinct = set(identifiers)
-    stems = {w.rstrip("0123456789") for w in distinct}
-    shapes = {_SHAPE_NUMBER.sub("9", _SHAPE_WORD.sub("a", x)) for x in lines}
-    runs = shingles(_WORD.findall(kept))
-    return [
+    entropy = -sum(n * math.log2(n / total) for n in count.values()) / total / max(1.0, math.log2(total))
+    named = {w: n for w, n in count.items() if not w[0].isdigit()}
+    of = max(1, sum(named.values()))
+    mean = sum(len(w) * n for w, n in named.items()) / of
+    spread = math.sqrt(sum((len(w) - mean) ** 2 * n for w, n in named.items()) / of)
+    shapes = set(_SHAPE_NUMBER.sub("9", _SHAPE_WORD.sub("a", kept)).split("\n"))
+    commented = sum(map(len, told))
+    lengths = [len(x) for x in lines]
+    return len(told) < len(comments), [
         len(zlib.compress(raw, 6)) / max(1, len(raw)),
         entropy,
         mean,
-        math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths)),
-        1 - len(body) / max(1, len(code)),
-        sum(map(str.isdigit, kept)) / size,
-        sum(map(str.isspace, kept)) / size,
-        math.log1p(sum(map(len, lines)) / len(lines)),
-        math.log1p(max(map(len, lines))),
+        spread,
+        commented / max(1, commented + len(body)),
+        _without(raw, b"0123456789"),
+        _without(raw, b" \t\r\n\v\f"),
+        math.log1p(sum(lengths) / len(lines)),
+        math.log1p(max(lengths)),
         1 - len(shapes) / len(lines),
-        1 - len(stems) / len(distinct) if distinct else 0.0,
-        sum(w[0].isdigit() for w in words) / total,
-        math.log1p(max(map(len, words), default=0)),
-        # Half a file out of a library makes it a copy, however much more; a quarter may.
-        float(min(2, 4 * len(runs & upstream) // max(1, len(runs)))),
+        1 - len({w.rstrip("0123456789") for w in named}) / len(named) if named else 0.0,
+        1 - sum(named.values()) / total,
+        math.log1p(max(map(len, count), default=0)),
         long_share,
-    ]
+    ], runs(words)
 
 
-def _sample(rows: DataFrame, label: float) -> DataFrame:
-    """At most about ``MOST_ROWS`` rows of a label, drawn by hash of the id, the same ones each time."""
+def _overlap(shared, size):
+    """Half a file out of a library makes it a copy, however much more; a quarter may."""
+    return F.least(F.lit(2.0), F.floor(4 * shared / F.greatest(F.lit(1), size)).cast("double"))
+
+
+def _measured(files: DataFrame, upstream: DataFrame) -> DataFrame:
+    """(file_id, fold, blank, noticed, label, measures): every file with code, with the values of ``FEATURES``.
+
+    The library files' runs of words are broadcast if they are few; otherwise files' runs are joined to them by
+    shuffle, which gives the same.
+    """
+    library_runs = pandas_udf(lambda codes: codes.map(lambda c: runs(_WORD.findall(parted(c)[0]))), "array<bigint>")
+    known = upstream.where("code is not null").select(F.explode(library_runs("code")).alias("__run")).distinct()
+    few = known.limit(MOST_RUNS + 1).count() <= MOST_RUNS
+    held = files.sparkSession.sparkContext.broadcast(np.sort(known.toPandas()["__run"].to_numpy(np.int64))) if few else None
+
+    @pandas_udf("struct<noticed:boolean,label:double,measures:array<double>,size:int,shared:int,runs:array<bigint>>")
+    def look(codes: pd.Series, paths: pd.Series) -> pd.DataFrame:
+        out = []
+        for code, path in zip(codes, paths):
+            noticed, measures, own = features(code)
+            label = float(noticed or bool(path and PATHS.search(path)))
+            if held is not None:
+                at = np.searchsorted(held.value, own)
+                shared = int((held.value[np.minimum(at, len(held.value) - 1)] == own).sum()) if len(held.value) else 0
+                out.append((noticed, label, measures, len(own), shared, []))
+            else:
+                out.append((noticed, label, measures, len(own), 0, own))
+        return pd.DataFrame(out, columns=["noticed", "label", "measures", "size", "shared", "runs"])
+
+    seen = files.where("code is not null").select(
+        "file_id", F.pmod(F.xxhash64("code"), F.lit(FOLDS)).alias("fold"), (~F.col("code").rlike(r"\S")).alias("blank"), look("code", "path").alias("l")
+    )
+    if few:
+        return seen.select("file_id", "fold", "blank", "l.noticed", "l.label", F.concat("l.measures", F.array(_overlap(F.col("l.shared"), F.col("l.size")))).alias("measures"))
+    seen = checkpointed(seen.select("*", F.xxhash64("l.runs").alias("__text")))
+    # Files of equal runs are counted once, so a file that is copied a million times is one set of runs.
+    alike = seen.select("__text", "l.runs").dropDuplicates(["__text"])
+    shared = alike.select("__text", F.explode("runs").alias("__run")).join(known, "__run", "left_semi").groupBy("__text").agg(F.count(F.lit(1)).alias("__shared"))
+    joined = seen.join(shared, "__text", "left")
+    return joined.select("file_id", "fold", "blank", "l.noticed", "l.label", F.concat("l.measures", F.array(_overlap(F.coalesce("__shared", F.lit(0)), F.col("l.size")))).alias("measures"))
+
+
+def _sample(rows: DataFrame, label: float, n: int) -> DataFrame:
+    """At most about ``MOST_ROWS`` of the ``n`` rows of a label, drawn by hash of the id, the same ones each time."""
     own = rows.where(F.col("label") == label)
-    n = own.count()
     return own if n <= MOST_ROWS else own.where(F.pmod(F.xxhash64("file_id"), F.lit(1_000_000)) < int(1e6 * MOST_ROWS / n))
 
 
 def judged(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """(file_id, labelled, score): whether a file says that it isn't hand-written, and the forest's score.
+    """(file_id, noticed, score): whether a notice says that the file isn't hand-written, and the forest's score.
 
     Null code is left out, empty and blank code is scored 0. Repeated files are scored alike. Where no file
-    or every file is labelled, the score is the label.
+    or every file has a label, there is nothing to learn from and the score is the label.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = bounded_rows(upstream.select("code").where("code is not null"), MOST_UPSTREAM, "the library files")
-    known = files.sparkSession.sparkContext.broadcast(frozenset().union(*(shingles(_WORD.findall(bare(r.code))) for r in rows)))
-
-    @pandas_udf("struct<said:boolean,features:array<double>>")
-    def look(codes: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        said = [notice(c) or bool(p and PATHS.search(p)) for c, p in zip(codes, paths)]
-        return pd.DataFrame({"said": said, "features": [features(c, known.value) for c in codes]})
-
-    seen = files.where("code is not null").select("file_id", F.pmod(F.xxhash64("code"), F.lit(FOLDS)).alias("fold"), (~F.col("code").rlike(r"\S")).alias("blank"), look("code", "path").alias("l"))
-    base = checkpointed(
-        seen.select("file_id", "fold", "blank", F.col("l.said").alias("labelled"), F.col("l.said").cast("double").alias("label"), array_to_vector("l.features").alias("features"))
-    )
-    if base.select("label").distinct().count() < 2:
-        return base.select("file_id", "labelled", F.col("label").alias("score"))
+    seen = _measured(files, upstream)
+    base = checkpointed(seen.select("file_id", "fold", "blank", "noticed", "label", (F.element_at("measures", -1) == 2.0).alias("copied"), array_to_vector("measures").alias("features")))
+    sizes = {r.label: r.n for r in base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return base.select("file_id", "noticed", F.col("label").alias("score"))
     score = vector_to_array("probability")[1]
-    positive, negative = _sample(base, 1.0), _sample(base, 0.0)
-    n_positive, n_negative = positive.count(), negative.count()
+    # At most 2 x MOST_ROWS rows: a few partitions hold them.
+    rows = checkpointed(_sample(base, 1.0, sizes[1.0]).unionByName(_sample(base, 0.0, sizes[0.0])).coalesce(4))
+    n_positive, n_negative = (min(MOST_ROWS, sizes[x]) for x in (1.0, 0.0))
     # Leaves that hold a hundredth of the labelled rows can't single out the copies of one file.
     leaf = max(3, n_positive // 100)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8, minInstancesPerNode=leaf, featureSubsetStrategy="0.7")
     doubt = max(0.5 * n_positive / max(1, n_positive + n_negative), 0.12)
-    rows = positive.unionByName(negative)
     # Copies of one file share a fold, so no copy vouches for another when it is scored.
-    parts = []
+    scored = None
     for fold in range(FOLDS):
         rest, own = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
         known_both = rest.select("label").distinct().count() == 2
-        told = forest.fit(rest).transform(own).withColumn("s", score) if known_both else own.withColumn("s", F.col("label"))
-        parts.append(told.select(*rows.columns, "s"))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    trusted = checkpointed(scored.where((F.col("label") == 1.0) == (F.col("s") > doubt)).drop("s"))
+        told = (forest.fit(rest).transform(own).withColumn("s", score) if known_both else own.withColumn("s", F.col("label"))).select(*rows.columns, "s")
+        scored = told if scored is None else scored.unionByName(told)
+    # A label on a file that is half out of a library needs no forest to confirm it.
+    trusted = checkpointed(scored.where((F.col("label") == 1.0) == ((F.col("s") > doubt) | F.col("copied"))).drop("s"))
     final = forest.fit(trusted if trusted.select("label").distinct().count() == 2 else rows)
-    return final.transform(base).select("file_id", "labelled", F.when(F.col("blank"), 0.0).otherwise(score).alias("score"))
+    return final.transform(base).select("file_id", "noticed", F.when(F.col("blank"), 0.0).otherwise(score).alias("score"))
 
 
 def not_hand_written(files: DataFrame, upstream: DataFrame, least: float = 0.5) -> DataFrame:
-    """(file_id): files that are generated, minified, copied from libraries or mere data."""
-    return judged(files, upstream).where(F.col("labelled") | (F.col("score") > least)).select("file_id").distinct()
+    """(file_id): files that are generated, minified, copied from libraries or mere data, by the forest or their own word."""
+    return judged(files, upstream).where(F.col("noticed") | (F.col("score") > least)).select("file_id").distinct()
 
 
 def hand_written(files: DataFrame, upstream: DataFrame) -> DataFrame:

@@ -76,6 +76,7 @@ def test_subjects_of_nothing(spark):
 @pytest.mark.parametrize("code,said", [
     ("# Code generated by tool 1.2. DO NOT EDIT.\nx = 1", True), ("/*\n * @generated\n */", True), ("// taken from lib 1.2.3", True), ("x = 1\n//# sourceMappingURL=x.map", True), ("/* Automatisch erzeugte Datei, bitte nicht von Hand ändern */", True),
     ("# The table used to be generated by a script, now Ann keeps it by hand.", False), ("# Do not edit the table while it runs.", False), ('T = "Code generated by x. DO NOT EDIT."', False), ("x = 1", False), ("", False), (None, False),
+    ("T = '''// Code generated by x. DO NOT EDIT.\npackage y\n'''\n", False), ("def f():\n    '''@generated'''\n", True), ("x = 'a' # b\n# @generated", True),
 ])
 def test_notices(code, said):
     assert V.notice(code) == said
@@ -117,6 +118,19 @@ def test_files_not_written_by_hand(spark):
     assert kept.count() == all_files.count() - len(got) - 1 and set(kept.columns) == set(all_files.columns)
 
 
+def test_library_runs_by_shuffle_and_by_broadcast(spark, monkeypatch):
+    all_files, upstream = files(spark)
+    want = sorted(map(str, V._measured(all_files, upstream).collect()))
+    monkeypatch.setattr(V, "MOST_RUNS", 0)
+    assert sorted(map(str, V._measured(all_files, upstream).collect())) == want
+
+
+def test_a_path_alone_makes_no_case(spark):
+    all_files, upstream = files(spark)
+    moved = all_files.withColumn("path", F.when(F.col("file_id") == 3, "vendor/x/m.py").otherwise(F.col("path")))
+    assert 3 not in {r.file_id for r in V.not_hand_written(moved, upstream).collect()}
+
+
 def test_files_all_alike(spark):
     all_files, upstream = files(spark)
     assert V.not_hand_written(all_files.limit(0), upstream).count() == 0
