@@ -47,8 +47,8 @@ def p2_token_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spaceless_words(spark: SparkSession, d: str) -> list[str]:
-    """The tokenizer's pieces in scripts without spaces; they extend the word lattice."""
-    pieces = table(spark, d, "token_vocab").select(F.trim("piece").alias("piece")).where(F.col("piece").rlike("^[\u0E00-\u0E7F]{2,}$"))
+    """The tokenizer's pieces in scripts without spaces; they are the lattices' dictionaries."""
+    pieces = table(spark, d, "token_vocab").select(F.trim("piece").alias("piece")).where(F.col("piece").rlike("^([\u0E00-\u0E7F]{2,}|[\u3040-\u30FF\u4E00-\u9FFF]{2,})$"))
     return [r.piece for r in bounded_rows(pieces, token_budget.MOST_PIECES, "the vocabulary")]
 
 

@@ -3,19 +3,21 @@
 A text is cut into blocks at blank lines and before lines that begin with a list marker; a block's end is
 always a sentence's end. Inside a block the candidates are
 
-* in spaced scripts the terminators, which form a lattice: a path from the block's start to its end visits
-  the terminators that end sentences, each visit pays or earns what its context says (abbreviations,
-  ordinals, initials, ellipses, case, attributions of quotations), and an arc over which a quotation or
-  bracket is left open pays extra. The cheapest path is the segmentation;
+* in spaced scripts the terminators, all of which form a lattice: a path from the block's start to its end visits those
+  that end sentences. A visit pays or earns what lies before the terminator says (abbreviations, ordinals,
+  initials, ellipses), the arc that leaves it pays for what it opens with (lower case, the attribution of a
+  quotation, a unit's or an ordinal's head), and an arc that leaves a quotation or bracket open pays for that.
+  The cheapest path is the segmentation;
 * in spaceless scripts the gaps (spaces in Thai, terminators and closing quotes in Chinese and Japanese).
-  The stretch beside a gap is segmented by a lattice of dictionary words, and the gap is classified by the
-  final particle before it and the opening word after it.
+  The stretches beside a gap are segmented by a lattice of dictionary words, and the gap is classified by the
+  final particle before it and the opening word after it, or by the verb that closes an attribution.
 
 Null and blank texts have no sentences. Positions count Unicode code points from 0.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -80,30 +82,53 @@ _WORD = re.compile(r"[^\W\d_]+")
 _WIDE = frozenset("。！？｡")
 _THAI = re.compile("[฀-๿]")
 _THAI_GAP = re.compile(r"\s+")
-_HAN_ATTRIBUTION = re.compile(r"[^。！？，、：；“”「」\n]{1,14}")
-_OPEN, _SHUT = "“„«「『（([", "”»」』）)]"
+_THAI_STRETCH = re.compile(r"\S*")
+_STRETCH = re.compile(r"[^。！？，、：；“”「」『』\n]+")
+_EMOJI_HERE = re.compile(_EMOJI)
+_OPENING, _PAIRED = frozenset("“„«「『（("), re.compile("[“”„«»「」『』（）()]")
+_LONGEST_LISTED = 2 + max(map(len, ABBREVIATIONS | TRAILING | CLOSING))
+
+#: What a visit costs: a terminator that ends sentences earns, an abbreviation or a pause costs.
+ENDS, ABBREVIATES, PAUSES = -2.0, 2.0, 2.0
+#: What an arc costs that opens with words that go on with the sentence before, or that leaves a quotation or bracket open.
+GOES_ON, LEFT_OPEN = 4.0, 2.5
+
+#: Where a sentence would end, the cost of the visit, and of the opening behind it.
+Node = tuple[int, float, float]
 
 
 class WordLattice:
-    """Splits spaceless text into dictionary words: the path of fewest words, unknown characters costing more."""
+    """Splits spaceless text into dictionary words: the path of fewest words, unknown characters costing more.
+
+    The dictionary is a trie, so a place of the text costs as many steps as its longest word has characters.
+    """
 
     def __init__(self, words: Iterable[str], unknown: float = 1.6):
-        self.words = frozenset(w for w in words if w)
-        self.longest = max(map(len, self.words), default=1)
         self.unknown = unknown
+        self.trie: dict = {}
+        for word in filter(None, words):
+            node = self.trie
+            for c in word:
+                node = node.setdefault(c, {})
+            node[""] = True
 
     def split(self, text: str) -> list[str]:
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        for end in range(1, len(text) + 1):
-            cost, start = best[end - 1][0] + self.unknown, end - 1
-            for begin in range(max(0, end - self.longest), end):
-                if best[begin][0] + 1 < cost and text[begin:end] in self.words:
-                    cost, start = best[begin][0] + 1, begin
-            best.append((cost, start))
-        out, end = [], len(text)
-        while end:
-            out.append(text[best[end][1] : end])
-            end = best[end][1]
+        n = len(text)
+        cost, begun = [0.0] + [math.inf] * n, [0] * (n + 1)
+        for begin in range(n):
+            here = cost[begin]
+            if here + self.unknown < cost[begin + 1]:
+                cost[begin + 1], begun[begin + 1] = here + self.unknown, begin
+            node, at = self.trie, begin
+            while at < n and (node := node.get(text[at])) is not None:
+                at += 1
+                # Of paths that cost the same, the one whose last word begins first.
+                if "" in node and here + 1 < cost[at]:
+                    cost[at], begun[at] = here + 1, begin
+        out = []
+        while n:
+            out.append(text[begun[n] : n])
+            n = begun[n]
         return out[::-1]
 
 
@@ -112,9 +137,11 @@ class Splitter:
 
     def __init__(self, words: Iterable[str] = ()):
         spaceless = (w.strip() for w in words)
-        self.thai = WordLattice({w for w in spaceless if _THAI.match(w)} | THAI_FINALS | THAI_GOES_ON)
-        self.han = WordLattice(HAN_ATTRIBUTING)
-        self.kana = WordLattice(KANA_GOES_ON)
+        thai, wide = set(), set()
+        for w in spaceless:
+            (thai if _THAI.match(w) else wide).add(w)
+        self.thai = WordLattice(thai | THAI_FINALS | THAI_GOES_ON)
+        self.wide = WordLattice(wide | {*HAN_ATTRIBUTING, *KANA_GOES_ON})
         self._quotes = (-1, 0, 0)
 
     def ends(self, text: str | None) -> list[int]:
@@ -152,38 +179,36 @@ class Splitter:
     # Spaced scripts, and the wide terminators of Chinese and Japanese
 
     def _terminators(self, text: str, start: int, stop: int, lowered: bool, found: list[int]) -> None:
-        nodes: list[tuple[int, float]] = []
+        nodes: list[Node] = []
         for m in _CANDIDATE.finditer(text, start, stop):
             end = m.end()
             if end >= stop:
                 break
-            if text[m.start()] in _WIDE:
-                end, gain = self._wide(text, m.start(), end, stop)
-            else:
-                end, gain = self._narrow(text, start, m.start(), end, stop, lowered)
-            if gain > 0:
-                nodes.append((end, gain))
+            node = self._wide(text, m.start(), end, stop) if text[m.start()] in _WIDE else self._narrow(text, start, m.start(), end, stop, lowered)
+            if node is not None:
+                nodes.append(node)
         if nodes:
-            found.extend(_cheapest(text, start, nodes))
+            found.extend(_cheapest(text, start, stop, nodes))
 
-    def _wide(self, text: str, at: int, end: int, stop: int) -> tuple[int, float]:
-        """A wide terminator: a gap, unless what opens after a closed quotation goes on with it."""
+    def _wide(self, text: str, at: int, end: int, stop: int) -> Node | None:
+        """A wide terminator, and what opens after it: words that go on with a closed quotation cost."""
         if text[end - 1] == "“":  # it opens the next quotation here
             end -= 1
-        after = text[end]
-        if after in "，、；：,;)）]】":
-            return end, -1
+        if text[end] in "，、；：，,;)）]】":
+            return None
+        opening = 0.0
         if text[end - 1] in "”」』":
-            if self.kana.split(text[end : end + 3])[0] in KANA_GOES_ON:
-                return end, -1
-            words = _HAN_ATTRIBUTION.match(text, end, stop)
-            if words and text[words.end() : words.end() + 1] in ("。", "，", "！", ""):
-                if self.han.split(words.group())[-1] in HAN_ATTRIBUTING:
-                    return end, -1
-        return end, 2
-
-    def _narrow(self, text: str, start: int, at: int, end: int, stop: int, lowered: bool) -> tuple[int, float]:
-        """What a sentence end at this terminator earns, and where it lies once closing quotes are told apart."""
+            stretch = _STRETCH.match(text, end, stop)
+            if stretch:
+                words = self.wide.split(stretch.group())
+                closing = text[stretch.end() : stretch.end() + 1] in ("。", "，", "！", "")
+                if words[0] in KANA_GOES_ON or closing and words[-1] in HAN_ATTRIBUTING:
+                    opening = GOES_ON
+        return end, ENDS, opening
+
+    def _narrow(self, text: str, start: int, at: int, end: int, stop: int, lowered: bool) -> Node | None:
+        """A terminator of spaced scripts: where a sentence would end once closing quotes are told apart, what that
+        earns, and what the words behind cost as a sentence's opening. None where nothing can open."""
         bare = at
         while bare < end and text[bare] in ".!?…।॥؟۔":
             bare += 1
@@ -194,46 +219,38 @@ class Splitter:
                 end -= 1
         glued = not text[end].isspace()
         to = _NEXT.match(text, end, stop).end()
-        if to >= stop:
-            return end, -1
-        if text[end] in ",;:":
-            return end, -1
+        if to >= stop or text[end] in ",;:":
+            return None
         head = text[to]
+        opening = GOES_ON if head.islower() and not lowered else 0.0
         if not mark:  # an emoji stands for the terminator
-            return end, 2 if lowered or not head.islower() else -1
+            return end, ENDS, opening
         word = _WORD.match(text, to, stop)
         following = word.group() if word else ""
-        capital = head.isupper()
+        low_following = following.lower()
         if glued:
-            if mark not in (".", "!", "?", "....", "।", "؟", "...", "…") or head.isdigit():
-                return end, -1
-            if not (capital or lowered or not head.isalpha() or head.lower() == head.upper()):
-                return end, -1
-            if not head.isalpha() and head not in "$\\":
-                return end, -1
+            if mark not in (".", "!", "?", "....", "।", "؟", "...", "…") or not head.isalpha() and head not in "$\\":
+                return None
             if lowered and head.lower() != head.upper() and (following not in OPENERS or len(_token(text, start, at)) < 2 or text[to + len(following) : to + len(following) + 1] in "./"):
-                return end, -1
-        if head.islower() and not lowered:
-            return end, -1
+                return None
+        elif end > bare and mark[-1] in "?!" and text[end - 1] in "\"”»“" and attributed(text, to, stop, following):
+            opening = GOES_ON
         if mark in ("...", "…") and (at == start or text[at - 1].isspace()):
-            return end, -1  # a pause; four dots end the sentence
-        quoted = end > bare and text[end - 1] in "\"”»“"
-        if quoted and mark[-1] in "?!" and attributed(text, to, stop, following):
-            return end, -1
+            return end, PAUSES, opening  # four dots end the sentence
         if mark == "." and end == bare:
             before = _token(text, start, at)
             low = before.lower()
             if low in CLOSING:
-                return end, -1 if following.lower() in INSIDE else 2
+                return end, ENDS, GOES_ON if low_following in INSIDE else opening
             if low in ABBREVIATIONS:
-                return end, -1
+                return end, ABBREVIATES, opening
             if low in TRAILING:
-                return end, 2 if capital else -1
+                return end, ENDS, opening if head.isupper() else GOES_ON
             if len(before) == 1 and before.isalpha() and (before.isupper() or lowered):
-                return end, -1  # an initial
-            if before.isdigit() and following.lower() in ORDINAL_HEADS:
-                return end, -1
-        return end, 2
+                return end, ABBREVIATES, opening  # an initial
+            if low_following in ORDINAL_HEADS and before.isdigit():
+                opening = GOES_ON
+        return end, ENDS, opening
 
     def _even_quotes(self, text: str, start: int, end: int) -> bool:
         """Whether an even number of straight quotes lies between a block's start and ``end``; asked left to right."""
@@ -249,16 +266,18 @@ class Splitter:
     def _thai(self, text: str, start: int, stop: int) -> list[int]:
         ends = []
         signs, counted = 0, start
+        final, at = "", start  # the last word before the gap at hand, and where its stretch begins
         for gap in _THAI_GAP.finditer(text, start, stop):
             left, right = gap.start(), gap.end()
             signs, counted = signs + text.count("$", counted, left), left
-            if signs % 2 or text[right] in "$\\,)" or text[left - 1] in "$,(":
+            stretch = text[at:left]
+            at = right
+            if signs % 2 or text[right] in "$\\,)" or text[left - 1] in "$,(" or text[right].isdigit() or _EMOJI_HERE.match(text, right):
                 continue
-            after = text[right : right + 24]
-            if after[0].isdigit() or re.match(_EMOJI, after):
-                continue
-            if self.thai.split(text[max(start, left - 12) : left])[-1] not in THAI_FINALS:
-                opening = self.thai.split(re.split(r"\s", after)[0])[0]
+            final = self.thai.split(stretch)[-1] if _THAI.match(text[left - 1]) else ""
+            if final not in THAI_FINALS:
+                behind = _THAI_STRETCH.match(text, right, stop).group()
+                opening = self.thai.split(behind)[0] if behind else ""
                 if opening.rstrip(".") in THAI_GOES_ON:
                     continue
                 if text[left - 1] == "." and left - start > 1 and _token(text, start, left - 1).lower() in ABBREVIATIONS:
@@ -278,8 +297,8 @@ def _bare_number(text: str, start: int, left: int) -> bool:
 
 
 def _token(text: str, start: int, at: int) -> str:
-    """The word that ends at ``at``, with periods and hyphens inside it."""
-    m = _WORD_BEFORE.search(text, max(start, at - 24), at)
+    """The word that ends at ``at``, with periods and hyphens inside it; a longer one than any that is listed is cut."""
+    m = _WORD_BEFORE.search(text, max(start, at - _LONGEST_LISTED), at)
     return m.group().lstrip(".-'’") if m else ""
 
 
@@ -294,30 +313,37 @@ def attributed(text: str, to: int, stop: int, following: str) -> bool:
     return not (rest.startswith(",") or rest.startswith(" that"))
 
 
-def _cheapest(text: str, start: int, nodes: list[tuple[int, float]]) -> list[int]:
-    """The ends on the cheapest path through the lattice of terminators."""
-    depth, at, state = [], start, 0
-    for end, _ in nodes:
-        piece = text[at:end]
-        for opening, shutting in zip("“«「『（(", "”»」』）)"):
-            state += piece.count(opening) - piece.count(shutting)
+def _cheapest(text: str, start: int, stop: int, nodes: list[Node]) -> list[int]:
+    """The ends on the cheapest path from ``start`` to ``stop`` through the lattice of terminators.
+
+    An arc pays for its opening, and for each quotation or bracket that it leaves open more than it found; so it
+    matters only between which depths an arc leads, and the cheapest way to every depth is enough to go on from.
+    """
+    depth, at, state, low = [], start, 0, 0
+    for end in [*(n[0] for n in nodes), stop]:
+        for c in _PAIRED.findall(text, at, end):
+            if c == "“" and low:  # it closes what „ opened
+                low, state = low - 1, state - 1
+            else:
+                low += c == "„"
+                state += 1 if c in _OPENING else -1
         depth.append(state)
         at = end
-    if not any(depth) or any(c in text[start:at] for c in "„"):
-        return [end for end, _ in nodes]
-    best: list[tuple[float, int]] = []
-    for j, (_, gain) in enumerate(nodes):
-        cost, back = (1.5 if depth[j] > 0 else 0.0), -1
-        for i in range(max(0, j - 8), j):
-            over = best[i][0] + (1.5 if depth[j] > depth[i] else 0.0)
-            if over < cost or back == -1 and i == max(0, j - 8) and j > 8:
-                cost, back = over, i
-        best.append((cost - gain + 1, back))
-    finish = min(range(len(nodes)), key=lambda i: best[i][0])
-    ends = []
-    while finish >= 0:
-        ends.append(nodes[finish][0])
-        finish = best[finish][1]
+    if not any(depth):
+        return [end for end, visit, opening in nodes if visit + opening < 0]
+    reached: dict[int, tuple[float, int]] = {0: (0.0, -1)}  # the cheapest opening at each depth, and its node
+    back = []
+    for j, d in enumerate(depth):
+        cost, i = min((c + (LEFT_OPEN if d > e else 0.0), i) for e, (c, i) in reached.items())
+        back.append(i)
+        if j < len(nodes):
+            cost += nodes[j][1] + nodes[j][2]
+            if d not in reached or cost < reached[d][0]:
+                reached[d] = cost, j
+    ends, i = [], back[-1]
+    while i >= 0:
+        ends.append(nodes[i][0])
+        i = back[i]
     return ends[::-1]
 
 

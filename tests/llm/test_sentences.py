@@ -30,6 +30,10 @@ CASES = [
     "डॉ. राम आए।| क्या वे गए?| हाँ।|",
     "ครูลืมร่มเมื่อวาน| คุณยายพบจดหมาย จำนวน 75 ชิ้น| แมวเปิดกล่อง น้ำหนัก 69.2 กก.| นักเรียนซ่อมว่าวค่ะ| จบ|",
     "every word is small. it ends at 5 p.m. then it goes on. dr. who came.|".replace("small. ", "small.| ").replace("p.m. ", "p.m.| ").replace("on. ", "on.| "),
+    "„Er kam. Sie ging“, sagte Anna.| „Nein. Ja“, rief er.| Ende.|",
+    "She said: “It rained. We left.”| Then it was dark.| (Not now. Later.)| It ended.|",
+    "“It rained. We left.| It snowed.| We came back.”| Then it was dark.|".replace("“It rained.", "“It rained.|"),
+    "An “ opened here.| It never closes.| So it goes.|",
     "no terminator at all|",
     "  spaced   .|  \n ",
 ]
@@ -46,6 +50,28 @@ def test_ends(marked):
     assert S.Splitter(["ร่ม", "ครู", "จดหมาย"]).ends(text) == want
 
 
+def test_boundaries_come_from_the_lattices(monkeypatch):
+    text, quote, thai = '"Is it late?" asked Ann. It rained.', "“谁来了？”老师喊道。", "คุณยายพบจดหมาย จำนวน 75 ชิ้น"
+    assert [len(S.Splitter().ends(t)) for t in (text, quote, thai)] == [2, 1, 1]
+    monkeypatch.setattr(S, "GOES_ON", 0.0)
+    assert [len(S.Splitter().ends(t)) for t in (text, quote)] == [3, 2]
+    splitter = S.Splitter()
+    splitter.thai = S.WordLattice([])
+    assert len(splitter.ends(thai)) == 2
+
+
+def test_dictionaries_keep_particles_and_words_apart():
+    text, final = "ทีมเราชนะ จำนวน 5 คน", "ไปกันเถอะนะ จำนวน 5 คน"  # to win ends like a final particle
+    assert len(S.Splitter(["ชนะ", "ทีม", "เรา"]).ends(text)) == 1 and len(S.Splitter().ends(text)) == 2
+    assert len(S.Splitter(["ชนะ", "ไป", "กัน", "เถอะ"]).ends(final)) == 2
+    assert len(S.Splitter(["とても"]).ends("「好き！」とても好き。")) == 2 and len(S.Splitter().ends("「好き！」とても好き。")) == 1
+
+
+def test_a_path_may_skip_any_number_of_terminators():
+    inside = "Dr. No. vs. Mr. St. Fig. Eq. Prof. Ms. cf. e.g. Sr. " * 40
+    assert S.Splitter().ends(f"It was {inside}Hill who came. Then it ended.") == [len(f"It was {inside}Hill who came."), len(f"It was {inside}Hill who came. Then it ended.")]
+
+
 def test_word_lattice_takes_the_fewest_words():
     lattice = S.WordLattice(["เมื่อ", "เมื่อวาน", "วาน", "ครู"])
     assert lattice.split("ครูเมื่อวาน") == ["ครู", "เมื่อวาน"]
