@@ -12,7 +12,7 @@ text wins; a stretch that fits another template as well, however little of that
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,22 +30,75 @@ GAP_WORDS = 8
 #: Share of a template's words that a chain must match.
 LEAST_COVER = 0.5
 
-# How the licences are commonly called (patterns over lower-cased text, spaces and _ as they come).
-NAMES = (
-    ("agpl-3.0", r"agpl[\s_-]*v?3(?:\.0)?|(?:gnu )?affero (?:general public licen[sc]e|gpl),?(?: version)?[\s_-]*v?3(?:\.0)?"),
-    ("lgpl-2.1", r"lgpl[\s_-]*v?2\.1|(?:gnu )?(?:lesser|library) (?:general public licen[sc]e|gpl),?(?: version)?[\s_-]*v?2\.1"),
-    ("gpl-2.0", r"(?:gnu[\s_-]*)?gpl(?:,? version)?[\s_-]*v?2(?:\.0)?|(?:gnu )?general public licen[sc]e,?(?: version)?[\s_-]*v?2(?:\.0)?"),
-    ("gpl-3.0", r"(?:gnu[\s_-]*)?gpl(?:,? version)?[\s_-]*v?3(?:\.0)?|(?:gnu )?general public licen[sc]e,?(?: version)?[\s_-]*v?3(?:\.0)?"),
-    ("mpl-2.0", r"mpl[\s_-]*v?2(?:\.0)?|mozilla public licen[sc]e,?(?: version)?[\s_-]*v?2(?:\.0)?"),
-    ("apache-2.0", r"apache(?: software)?(?: licen[sc]e)?,?(?: version)?[\s_-]*v?2(?:\.0)?|asl[\s_-]*v?2(?:\.0)?"),
-    ("bsd-3-clause", r"bsd[\s_-]*3[\s_-]*clause|3[\s_-]*clause bsd|(?:new|modified|revised) bsd(?: licen[sc]e)?"),
-    ("bsd-2-clause", r"bsd[\s_-]*2[\s_-]*clause|2[\s_-]*clause bsd|(?:simplified|freebsd(?:-style)?) bsd(?: licen[sc]e)?|freebsd(?:-style)? licen[sc]e"),
-    ("isc", r"isc|internet[\s-]consortium licen[sc]e"),
-    ("unlicense", r"public[\s-]domain dedication \(unlicense\)|unlicense"),
-    ("mit", r"mit|expat"),
-)
+# How families of licences are commonly called, by the first part of their ids (patterns over text of any
+# case, words apart as they come). A family that isn't here is called by its id alone.
+FAMILIES = {
+    "agpl": r"agpl|(?:gnu )?affero (?:general public licen[sc]e|gpl)",
+    "apache": r"apache(?: software)?(?: licen[sc]e)?|asl",
+    "bsl": r"bsl|boost(?: software)?(?: licen[sc]e)?",
+    "cddl": r"cddl|common development and distribution licen[sc]e",
+    "epl": r"epl|eclipse public licen[sc]e",
+    "eupl": r"eupl|european union public licen[sc]e",
+    "gpl": r"(?:gnu[\s_-]*)?gpl|(?:gnu )?general public licen[sc]e",
+    "isc": r"isc|internet[\s-]consortium licen[sc]e",
+    "lgpl": r"lgpl|(?:gnu )?(?:lesser|library) (?:general public licen[sc]e|gpl)",
+    "mit": r"mit|expat",
+    "mpl": r"mpl|mozilla public licen[sc]e",
+    "unlicense": r"public[\s-]domain dedication \(unlicense\)|unlicense",
+}
+#: How the forms of a family that differ in their clauses are called besides.
+CLAUSES = {
+    "2": r"(?:simplified|freebsd(?:-style)?) {0}(?: licen[sc]e)?|freebsd(?:-style)? licen[sc]e",
+    "3": r"(?:new|modified|revised) {0}(?: licen[sc]e)?",
+}
 _TAIL = r"(?:[\s_-]+(?:only|or[\s_-]later)|\+)?(?:\s+licen[sc]e)?"
-_NAME = re.compile("|".join(f"(?P<n{i}>(?<![a-z0-9.-])(?:{p}){_TAIL}(?![a-z0-9]))" for i, (_, p) in enumerate(NAMES)), re.I)
+_ID = re.compile(r"(?P<stem>.+?)(?:-(?P<clauses>\d)-clause|-(?P<version>\d+(?:\.\d+)*))?", re.I)
+
+
+def called(licence: str) -> str:
+    """The pattern of the names of a licence, made from its id: family, and version or number of clauses."""
+    m = _ID.fullmatch(licence)
+    stem = m["stem"].lower()
+    family = FAMILIES.get(stem) or r"[\s_-]*".join(map(re.escape, re.split(r"[\s_-]+", stem)))
+    if m["clauses"]:
+        n = m["clauses"]
+        return rf"(?:{family})[\s_-]*{n}[\s_-]*clause|{n}[\s_-]*clause (?:{family})|{CLAUSES.get(n, '(?!)').format(f'(?:{family})')}"
+    if m["version"]:
+        whole = re.sub(r"(?:\.0)+$", "", m["version"])
+        return rf"(?:{family})(?: licen[sc]e)?(?:,? version)?[\s_-]*v?{re.escape(whole)}(?:\.0)*"
+    return family
+
+
+class Names:
+    """Finds licences by name. Longer families come first, so that what holds another's name isn't taken for it."""
+
+    def __init__(self, licences: Iterable[str]):
+        self.ids = sorted(licences, key=lambda x: (-len(_ID.fullmatch(x)["stem"]), x))
+        any_name = "|".join(f"(?P<n{i}>(?<![a-z0-9.-])(?:{called(x)}){_TAIL}(?![a-z0-9]))" for i, x in enumerate(self.ids))
+        self.pattern = re.compile(any_name or "(?!)", re.I)
+
+    def id(self, m: re.Match) -> str:
+        return self.ids[int(m.lastgroup[1:])]
+
+    def joined(self, text: str, at: int) -> tuple[set[str], int]:
+        """The licences named one after another, joined by or, from ``at`` on, and where the last name ends."""
+        ids: set[str] = set()
+        end = at
+        while m := self.pattern.match(text, at):
+            ids.add(self.id(m))
+            end = m.end()
+            joiner = _JOINER.match(text, end)
+            if not joiner:
+                break
+            at = joiner.end()
+        return ids, end
+
+    def declared(self, text: str) -> list[frozenset[str]]:
+        """The statements that declaring phrases make in a text whose comment markers are gone."""
+        found = (self.joined(text, _CHOICE.match(text, intro.end()).end())[0] for intro in _DECLARES.finditer(text))
+        return [frozenset(ids) for ids in found if ids]
+
+
 _JOINER = re.compile(r"\s*(?:,?\s*\bor\b,?(?:\s*at your option,)?|/|\|)\s*(?:the\s+)*", re.I)
 _ARTICLE = re.compile(r"(?:the\s+)*", re.I)
 _CHOICE = re.compile(r"(?:either\s+)?(?:the\s+)*", re.I)
@@ -151,69 +204,37 @@ class TemplateAutomaton:
         return [x[:4] for x in kept if not any(r[0] != x[0] and r[3] >= x[4] and r[1] < x[2] and x[1] < r[2] for r in rivals)]
 
 
-def _id(m: re.Match) -> str:
-    return NAMES[int(m.lastgroup[1:])][0]
-
-
-def _declared(text: str) -> list[frozenset[str]]:
-    """The statements that declaring phrases make in a text whose comment markers are gone."""
-    out = []
-    for intro in _DECLARES.finditer(text):
-        at, ids = intro.end(), set()
-        start = _CHOICE.match(text, at).end()
-        while m := _NAME.match(text, start):
-            ids.add(_id(m))
-            joiner = _JOINER.match(text, m.end())
-            if not joiner:
-                break
-            start = joiner.end()
-        if ids:
-            out.append(frozenset(ids))
-    return out
-
-
 class LicenceReader:
-    """Reads statements. ``templates`` maps licence ids to their wording."""
+    """Reads statements. ``templates`` maps licence ids to their wording; the names come from the ids."""
 
     def __init__(self, templates: dict[str, str]):
-        self.known = frozenset(templates)
+        self.names = Names(templates)
         self.automaton = TemplateAutomaton({k: t for k, t in templates.items() if t})
 
     def field(self, value: str | None) -> list[frozenset[str]]:
         """A declared licence field: a name, or names joined by or; anything else states nothing."""
         text = (value or "").strip()
-        ids, at = set(), _ARTICLE.match(text).end()
-        while m := _NAME.match(text, at):
-            ids.add(_id(m))
-            joiner = _JOINER.match(text, m.end())
-            if not joiner:
-                return self._kept([frozenset(ids)]) if not text[m.end() :].strip(" .;)") else []
-            at = joiner.end()
-        return []
+        ids, end = self.names.joined(text, _ARTICLE.match(text).end())
+        return [frozenset(ids)] if ids and not text[end:].strip(" .;)") else []
 
     def code(self, value: str | None) -> list[frozenset[str]]:
         """Source code: declaring phrases and wording in it. Names alone are mentions."""
         if not value:
             return []
         text = _MARKER.sub("", value)
-        out = _declared(text)
         wording = self.automaton.located(_WORD.findall(text.lower()))
-        out += [frozenset([x[0]]) for x in wording]
-        return self._kept(out)
+        return self.names.declared(text) + [frozenset([x[0]]) for x in wording]
 
     def text(self, value: str | None) -> list[frozenset[str]]:
         """A licence file: every name and wording in it; where it offers a choice, all of them are one statement."""
         if not value or value.isspace():
             return []
         text = _MARKER.sub("", value)
-        named = {_id(m) for m in _NAME.finditer(text)}
+        named = {self.names.id(m) for m in self.names.pattern.finditer(text)}
         worded = {x[0] for x in self.automaton.located(_WORD.findall(text.lower()))}
         if len(named | worded) > 1 and _EITHER.search(text):
-            return self._kept([frozenset(named | worded)])
-        return self._kept([frozenset([x]) for x in named | worded])
-
-    def _kept(self, statements: list[frozenset[str]]) -> list[frozenset[str]]:
-        return [s for s in statements if s <= self.known]
+            return [frozenset(named | worded)]
+        return [frozenset([x]) for x in named | worded]
 
 
 def allowed(statements: list[frozenset[str]]) -> str:
@@ -252,7 +273,7 @@ def findings(code_files: DataFrame, repositories: DataFrame, templates: DataFram
 
     def verdict(statements):
         parts = sets(statements)
-        both = F.aggregate(F.slice(parts, 2, 10_000), F.element_at(parts, 1), lambda a, b: F.array_intersect(a, b))
+        both = F.aggregate(parts, F.element_at(parts, 1), lambda a, b: F.array_intersect(a, b))
         stated = F.when(F.size(both) == 0, "conflict").otherwise(F.array_join(F.array_sort(both), " OR "))
         return F.when(F.size(statements) == 0, "unknown").otherwise(stated)
 

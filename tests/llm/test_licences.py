@@ -94,3 +94,21 @@ def test_findings(spark, templates):
     ]
     assert L.findings(files.limit(0), repos.limit(0), refs).count() == 0
     assert {r.finding for r in L.findings(files, repos, refs.limit(0)).collect()} == {"unknown"}
+
+
+def test_a_licence_beyond_the_known_ones_is_named_by_its_id(templates):
+    body = "Whoever runs this tool in a lighthouse shall wave at passing ships, keep the lamp clean, and leave these lines in every copy they make of it."
+    reader = L.LicenceReader({**templates, "epl-2.0": "", "lighthouse-1.1": body, "zlib": ""})
+    for text in ("EPL-2.0", "Eclipse Public License v2", "the Eclipse Public License, version 2.0", "epl 2.0"):
+        assert reader.field(text) == [frozenset(["epl-2.0"])], text
+    assert reader.field("EPL-1.0") == [] and reader.field("Lighthouse License v1.1") == [frozenset(["lighthouse-1.1"])]
+    assert reader.code("// Licensed under zlib or the MIT License.\nint x;") == [frozenset(["zlib", "mit"])]
+    assert reader.code("/* " + body.replace("passing", "all").replace(", ", "\n * ") + " */") == [frozenset(["lighthouse-1.1"])]
+
+
+def test_more_statements_than_any_cap(spark):
+    many = [(i, 1, "mit", None) for i in range(3)]
+    repos = spark.createDataFrame([(1, f"{a} or {b}", None) for a in ("mit", "isc") for b in ("zlib", "unlicense") for _ in range(20)], "repo_id long, license string, license_text string")
+    files = spark.createDataFrame(many, "file_id long, repo_id long, license string, code string")
+    refs = spark.createDataFrame([(x, None) for x in ("mit", "isc", "zlib", "unlicense")], "license_id string, body string")
+    assert {r.finding for r in L.findings(files, repos, refs).where("item_kind = 'file'").collect()} == {"conflict"}
