@@ -28,7 +28,7 @@ from pyspark.sql.functions import pandas_udf
 from quernel.session import bounded_rows, small
 
 LENGTH, STEP, BLOCK = 24, 8, 7
-#: Items beyond this are refused rather than broadcast.
+#: Items that are searched for at once; more take a scan of the texts for each so many.
 MOST_ITEMS = 200_000
 #: After a mismatch the two sides may differ by so many bytes before they must agree over ``AGREE`` bytes again.
 GAP, AGREE = 48, 9
@@ -98,6 +98,10 @@ class LeakSearch:
         self.items = {k: f for k, text in items.items() if text and (f := fold(text))}
         self.backward = {k: f[::-1] for k, f in self.items.items()}
         self.short = {k: f for k, f in self.items.items() if len(f) < LENGTH}
+        # An item shorter than a pattern is searched for by its beginning, if it has the bytes of a block.
+        begun = {k: f for k, f in self.short.items() if len(f) >= BLOCK}
+        self.tiny = {k: f for k, f in self.short.items() if len(f) < BLOCK}
+        self.beginnings = _Patterns({k: f[: min(map(len, begun.values()))] for k, f in begun.items()}, min(map(len, begun.values())), 1) if begun else None
         needed = {k: math.ceil(least * len(f)) for k, f in self.items.items() if k not in self.short}
         fine = {k: n for k, n in needed.items() if BLOCK <= n < LENGTH + STEP - 1}
         groups = [({k: self.items[k] for k in needed if k not in fine}, LENGTH, STEP), ({k: self.items[k] for k in fine}, min([LENGTH, *fine.values()]), 1)]
@@ -116,7 +120,11 @@ class LeakSearch:
         if not raw:
             return []
         text = fold(raw)
-        out = [(key, 1.0) for key, item in self.short.items() if item in text]
+        out = [(key, 1.0) for key, item in self.tiny.items() if item in text]
+        if self.beginnings:
+            begun: dict[int, list[tuple[int, int]]] = {}
+            self.beginnings.search(text, begun)
+            out += [(key, 1.0) for key, places in begun.items() if any(text.startswith(self.short[key], at) for at, _ in places)]
         hits = self.occurrences(text)
         back = text[::-1] if hits else b""
         for key, places in hits.items():
@@ -180,12 +188,23 @@ def _forward(item: bytes, text: bytes, i: int, j: int) -> tuple[int, int]:
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.5) -> DataFrame:
     """(id_col, item_id, share): the items that leaked into each text, with the share of the item it holds.
 
-    The items are a held-out benchmark, bounded by ``MOST_ITEMS``; the texts are only scanned, with no
-    shuffle, so a hot source is no concern. Null and blank texts and items leak nothing. An item shorter
+    The texts are only scanned, with no shuffle, so a hot source is no concern; ``MOST_ITEMS`` items are searched for in
+    one scan, and a larger set in several. Null and blank texts and items leak nothing. An item shorter
     than a pattern counts where a text holds it whole. Repeated items are found under each id.
     """
-    rows = bounded_rows(items.select(F.col(item_id).alias("k"), F.col(item_text).alias("t")).where("t is not null and k is not null"), MOST_ITEMS, "the items")
-    search = docs.sparkSession.sparkContext.broadcast(LeakSearch({r.k: r.t for r in rows}, least))
+    wanted = items.select(F.col(item_id).alias("k"), F.col(item_text).alias("t")).where("t is not null and k is not null")
+    blocks = max(1, -(-wanted.count() * 5 // (4 * MOST_ITEMS))) if wanted.limit(MOST_ITEMS + 1).count() > MOST_ITEMS else 1
+    out = None
+    for block in range(blocks):
+        own = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block)
+        part = _leaks_of(docs, own, id_col, text_col, item_id, least)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _leaks_of(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, least: float) -> DataFrame:
+    """``leaks`` of a block of items (k, t)."""
+    search = docs.sparkSession.sparkContext.broadcast(LeakSearch({r.k: r.t for r in bounded_rows(items, MOST_ITEMS, "a block of the items")}, least))
 
     @pandas_udf("array<struct<item:bigint,share:double>>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

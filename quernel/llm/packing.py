@@ -1,10 +1,10 @@
 """Packing documents into windows of fixed capacity, balanced by cost (problem 6).
 
 The cost of a document in a sequence is linear plus quadratic in its tokens, as that of attention. Documents
-go in descending order to the lowest-cost sequence that has room for them. Lowest cost alone leaves every
-sequence a little unused; so documents below a fraction of the capacity, which come last, go where they leave
+go in descending order to the lowest-cost sequence that has room for them. Where lowest cost alone takes more
+sequences than the tokens need, documents below a fraction of the capacity, which come last, go where they leave
 the least room, and only a document that fits nowhere opens a new sequence. The fractions in ``FINE`` are
-tried in order until no sequence could be saved.
+tried in order, lowest cost alone first, until no sequence could be saved.
 
 Documents are spread over groups by hash, and each group is packed by one task; a group's size is set by
 ``GROUP``, so neither a hot source nor the number of documents makes one task larger. A group costs at most
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from quernel.session import bounded_rows, small
 
 GROUP = 25_000
-FINE = (0.25, 0.5, 1.0)
+FINE = (0.0, 0.25, 0.5, 1.0)
 #: Cost of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 MOST_WINDOWS = 1_000
@@ -111,22 +111,22 @@ def packed(docs: DataFrame, windows: DataFrame, seed: int = 0) -> DataFrame:
     """
     spec = bounded_rows(windows.select("window_name", "capacity_tokens").where("capacity_tokens > 0").distinct(), MOST_WINDOWS, "the windows")
     schema = "window_name string, window_id string, doc_id long, from_token long, n_tokens long"
-    sized = docs.where("n_tokens > 0").select("doc_id", "n_tokens")
+    # Repeated rows get numbers, so that nothing depends on the order or the partitions in which rows come.
+    counted = docs.where("n_tokens > 0").groupBy("doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("rows"))
     if not spec:
-        return sized.sparkSession.createDataFrame([], schema)
-    groups = max(1, -(-sized.count() // GROUP))
+        return counted.sparkSession.createDataFrame([], schema)
+    groups = max(1, -(-(counted.agg(F.sum("rows")).first()[0] or 0) // GROUP))
     each = F.explode(F.array(*[F.struct(F.lit(r.window_name).alias("window_name"), F.lit(int(r.capacity_tokens)).cast("long").alias("capacity")) for r in spec]))
-    wanted = sized.select("doc_id", "n_tokens", each.alias("w")).select("doc_id", "n_tokens", "w.*")
-    group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("int") if groups > 1 else F.lit(0)
+    numbered = counted.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
+    wanted = numbered.select("doc_id", "n_tokens", "copy", each.alias("w")).select("doc_id", "n_tokens", "copy", "w.*")
+    group = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "n_tokens", "copy"), F.lit(groups)).cast("int") if groups > 1 else F.lit(0)
 
-    whole = wanted.where("n_tokens >= capacity").select(
-        "window_name", "doc_id", "capacity", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_tokens") / F.col("capacity")) - 1)).alias("k"), F.monotonically_increasing_id().alias("u")
-    )
-    filled = whole.select("window_name", F.concat_ws("-", F.lit("d"), "doc_id", "u", "k").alias("window_id"), "doc_id", (F.col("k") * F.col("capacity")).alias("from_token"), F.col("capacity").alias("n_tokens"))
+    whole = wanted.where("n_tokens >= capacity").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_tokens") / F.col("capacity")) - 1)).alias("k"))
+    filled = whole.select("window_name", F.concat_ws("-", F.lit("d"), "doc_id", "n_tokens", "copy", "k").alias("window_id"), "doc_id", (F.col("k") * F.col("capacity")).alias("from_token"), F.col("capacity").alias("n_tokens"))
     rest = wanted.withColumn("size", F.col("n_tokens") % F.col("capacity")).where("size > 0").withColumn("g", group)
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "n_tokens"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["doc_id", "n_tokens", "copy"]).reset_index(drop=True)
         name, g, capacity = frame["window_name"].iloc[0], frame["g"].iloc[0], int(frame["capacity"].iloc[0])
         where = pack_tight(frame["size"].tolist(), capacity)
         return pd.DataFrame({"window_name": name, "window_id": [f"g{g}-{k}" for k in where], "doc_id": frame["doc_id"], "from_token": frame["n_tokens"] - frame["size"], "n_tokens": frame["size"]})

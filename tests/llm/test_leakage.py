@@ -75,3 +75,19 @@ def test_operator_edge_cases(spark):
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(3, 3), (3, 53), (4, 3), (4, 53), (5, 52), (6, 5)]
     assert L.leak_report(found, docs, items).first().n_docs == 4
     assert L.leaks(docs.limit(0), items).count() == 0 and L.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_items_shorter_than_a_pattern_are_found_whole():
+    items = {1: "Ünder oath!", 2: "abc", 3: "a blue moon rose", 4: "moon roseate"}
+    search = L.LeakSearch(items)
+    for text in ("She spoke UNDER oath and saw a blue  moon rose.", "moon", "xabcx", "the moon, roseate", ""):
+        assert {k for k, _ in search.leaked(text)} == {k for k, t in items.items() if L.fold(t) in L.fold(text)}
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    texts = [(i, f"The item number {i} tells of a thing called {'abcdefghij'[i % 10] * 9} in a far away place.") for i in range(40)]
+    docs = spark.createDataFrame([(i, f"Before it. {t} After it.") for i, t in texts] + [(99, None)], "doc_id long, text string")
+    items = spark.createDataFrame(texts, "item_id long, text string")
+    want = sorted(map(tuple, L.leaks(docs, items).collect()))
+    monkeypatch.setattr(L, "MOST_ITEMS", 15)
+    assert want and sorted(map(tuple, L.leaks(docs, items).collect())) == want

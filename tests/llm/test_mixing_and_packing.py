@@ -120,3 +120,16 @@ def test_groups_do_not_change_what_is_placed(spark, monkeypatch):
     placed = P.packed(docs, spark.createDataFrame([("w", 100)], "window_name string, capacity_tokens int"))
     load = placed.groupBy("window_id").sum("n_tokens").collect()
     assert max(r[1] for r in load) <= 100 and sum(r[1] for r in load) == sum(i % 90 + 1 for i in range(400)) and len(load) <= -(-sum(r[1] for r in load) // 100) + 2 * 8
+
+
+def test_packing_depends_on_no_partitions(spark, monkeypatch):
+    monkeypatch.setattr(P, "GROUP", 40)
+    rows = [(i % 30, 5 + i * 37 % 90) for i in range(150)] + [(7, 250)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    spec = spark.createDataFrame([("w", 100)], "window_name string, capacity_tokens int")
+    got = [sorted(map(tuple, P.packed(d, spec).collect())) for d in (docs.coalesce(1), docs.repartition(7).orderBy(F.desc("n_tokens")))]
+    assert got[0] == got[1] and sum(x[4] for x in got[0]) == sum(n for _, n in rows)
+    tokens = Counter()
+    for name, window, _, _, n in got[0]:
+        tokens[window] += n
+    assert max(tokens.values()) <= 100
