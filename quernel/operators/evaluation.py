@@ -9,18 +9,26 @@ from quernel.functions.metrics import LN2, calibration_bin
 from quernel.functions.text import alpha_words
 
 
-def unigram_predictions(docs: DataFrame) -> DataFrame:
-    """(doc_id, domain, pos, word, nll, pred, correct, confidence, is_switch): per word, under its domain's counts.
+def unigram_scores(docs: DataFrame, *by: Column) -> DataFrame:
+    """(domain, word, *by, n, nll, pred, correct, confidence): the words scored under their domain's counts.
 
-    The prediction is the domain's most frequent word, its confidence the word's count over that word's; a
-    switch is the first word of a document. Counts are per domain and word, and joined back by shuffle.
+    The prediction is the domain's most frequent word, its confidence the word's count over that word's. Words that
+    agree in ``by`` (expressions over doc_id and pos) are one row of weight ``n``: counting comes before any join, within
+    tasks first, so that a word that a third of all places hold is a few rows when it meets its domain's counts.
     """
     words = docs.select("doc_id", F.coalesce("domain", F.lit("none")).alias("domain"), F.posexplode(alpha_words(F.col("text"))).alias("pos", "word"))
-    counts = words.groupBy("domain", "word").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("domain").agg(F.sum("n").alias("total"), F.max_by("word", F.struct("n", "word")).alias("pred"), F.max("n").alias("most"))
-    scored = counts.join(totals, "domain").select("domain", "word", (-F.log(F.col("n") / F.col("total"))).alias("nll"), "pred", (F.col("n") / F.col("most")).alias("confidence"))
-    joined = words.join(scored, ["domain", "word"])
-    return joined.select("doc_id", "domain", F.col("pos").cast("long").alias("pos"), "word", "nll", "pred", (F.col("word") == F.col("pred")).alias("correct"), "confidence", (F.col("pos") == 0).alias("is_switch"))
+    counts = words.groupBy("domain", "word", *by).agg(F.count(F.lit(1)).alias("n"))
+    per_word = counts.groupBy("domain", "word").agg(F.sum("n").alias("held"))
+    totals = per_word.groupBy("domain").agg(F.sum("held").alias("total"), F.max_by("word", F.struct("held", "word")).alias("pred"), F.max("held").alias("most"))
+    scored = per_word.join(totals, "domain").select("domain", "word", (-F.log(F.col("held") / F.col("total"))).alias("nll"), "pred", (F.col("held") / F.col("most")).alias("confidence"))
+    return counts.join(scored, ["domain", "word"]).withColumn("correct", F.col("word") == F.col("pred"))
+
+
+def weighted_mean(value: str | Column, where: Column | None = None) -> Column:
+    """The mean of ``value`` over rows that stand for ``n`` each."""
+    value = F.col(value) if isinstance(value, str) else value
+    n = F.col("n") if where is None else F.when(where, F.col("n"))
+    return F.sum(value * n) / F.nullif(F.sum(n), F.lit(0))
 
 
 def by_domain_and_overall(rows: DataFrame, *measures: Column) -> DataFrame:
@@ -28,28 +36,27 @@ def by_domain_and_overall(rows: DataFrame, *measures: Column) -> DataFrame:
     return rows.groupingSets([["domain"], []], "domain").agg(*measures)
 
 
-def routed_bundle(predictions: DataFrame, width: int = 8) -> DataFrame:
-    """Loss, boundary and interior loss, switch accuracy and counts; a boundary is ``width`` positions from a switch on."""
-    near = F.col("pos") < width
-    return predictions.agg(
-        F.round(F.avg("nll"), 6).alias("loss"),
-        F.round(F.avg(F.when(near, F.col("nll"))), 6).alias("boundary_loss"),
-        F.round(F.avg(F.when(~near, F.col("nll"))), 6).alias("interior_loss"),
-        F.round(F.avg(F.when(F.col("is_switch"), F.col("correct").cast("double"))), 6).alias("switch_accuracy"),
-        F.count_if("is_switch").alias("n_switches"),
-        F.count(F.lit(1)).alias("n"),
+def routed_bundle(scores: DataFrame) -> DataFrame:
+    """Loss, boundary and interior loss, switch accuracy and counts of ``unigram_scores`` by is_switch and is_boundary."""
+    return scores.agg(
+        F.round(weighted_mean("nll"), 6).alias("loss"),
+        F.round(weighted_mean("nll", F.col("is_boundary")), 6).alias("boundary_loss"),
+        F.round(weighted_mean("nll", ~F.col("is_boundary")), 6).alias("interior_loss"),
+        F.round(weighted_mean(F.col("correct").cast("double"), F.col("is_switch")), 6).alias("switch_accuracy"),
+        F.coalesce(F.sum(F.when(F.col("is_switch"), F.col("n"))), F.lit(0)).alias("n_switches"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
     )
 
 
-def calibration_error(predictions: DataFrame) -> DataFrame:
+def calibration_error(scores: DataFrame) -> DataFrame:
     """(domain, ece): weighted gaps between mean confidence and accuracy over equal-width bins."""
-    bins = predictions.groupBy("domain", calibration_bin(F.col("confidence")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("c"), F.avg(F.col("correct").cast("double")).alias("a"))
+    bins = scores.groupBy("domain", calibration_bin(F.col("confidence")).alias("bin")).agg(weighted_mean("confidence").alias("c"), weighted_mean(F.col("correct").cast("double")).alias("a"), F.sum("n").alias("n"))
     return bins.groupBy("domain").agg(F.round(F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n"), 6).alias("ece"))
 
 
-def bits_per_byte_by_domain(predictions: DataFrame, docs: DataFrame) -> DataFrame:
+def bits_per_byte_by_domain(scores: DataFrame, docs: DataFrame) -> DataFrame:
     """(domain, bpb, ppl): nats of the words over the bytes of the documents that hold them; null is all."""
-    nats = predictions.groupBy("domain").agg(F.sum("nll").alias("nats"), F.count(F.lit(1)).alias("n"))
+    nats = scores.groupBy("domain").agg(F.sum(F.col("nll") * F.col("n")).alias("nats"), F.sum("n").alias("n"))
     sizes = docs.where("text is not null").groupBy(F.coalesce("domain", F.lit("none")).alias("domain")).agg(F.sum(F.octet_length("text")).alias("bytes"))
     joined = nats.join(sizes, "domain")
     return by_domain_and_overall(joined, F.round(F.sum("nats") / LN2 / F.sum("bytes"), 6).alias("bpb"), F.round(F.exp(F.sum("nats") / F.sum("n")), 3).alias("ppl"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from quernel.functions.text import alpha_words, phrase_hits, word_count
 
@@ -25,20 +28,34 @@ def is_article(text: Column, least_words: int = 500, most_words: int = 5000, phr
     return F.coalesce((n >= least_words) & (n <= most_words), F.lit(False)) & (phrase_hits(text, phrases) < 2)
 
 
+def words_that_return(least_letters: int = 5, least_gap: int = 15, stopwords: list[str] = STOPWORDS):
+    """A function Column -> Column: the words of a text that come again at least ``least_gap`` words after their first place.
+
+    First and last places of a row's words are kept in one pass over the row, in Arrow batches, so no word is shuffled.
+    """
+    passed, find = frozenset(stopwords), re.compile("[a-z']+").findall
+
+    def returning(text: str | None) -> list[str]:
+        words = find(text) if text else []
+        last = {w: i for i, w in enumerate(words)}
+        first = {w: i for i, w in zip(range(len(words) - 1, -1, -1), reversed(words))}
+        return [w for w, i in last.items() if i - first[w] >= least_gap and len(w) >= least_letters and w not in passed]
+
+    told = pandas_udf(lambda texts: texts.map(returning), "array<string>")
+    return lambda text: told(F.lower(text))
+
+
 def copy_words(docs: DataFrame, least_letters: int = 5, least_gap: int = 15, stopwords: list[str] = STOPWORDS) -> DataFrame:
     """(doc_id, word): words of some length that come again at least ``least_gap`` words after their first place.
 
-    Rows of one document only meet in the aggregation, which first combines within tasks; texts with fewer
-    than least_gap + 2 words have none.
+    Null and empty texts have none; repeated rows have theirs each.
     """
-    told = docs.select("doc_id", alpha_words(F.col("text")).alias("w")).where(F.size("w") >= least_gap + 2)
-    each = told.select("doc_id", F.posexplode("w").alias("pos", "word")).where((F.length("word") >= least_letters) & ~F.col("word").isin(stopwords))
-    return each.groupBy("doc_id", "word").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where(F.col("b") - F.col("a") >= least_gap).select("doc_id", "word")
+    return docs.select("doc_id", F.explode(words_that_return(least_letters, least_gap, stopwords)(F.col("text"))).alias("word"))
 
 
 def copy_structured(docs: DataFrame, **options) -> DataFrame:
-    """The documents in which some word comes again (left semi-join on ``copy_words``)."""
-    return docs.join(copy_words(docs, **options).select("doc_id").distinct(), "doc_id", "left_semi")
+    """The documents in which some word comes again."""
+    return docs.where(F.size(words_that_return(**options)(F.col("text"))) > 0)
 
 
 def url_matches(url: Column, parts: list[str]) -> Column:

@@ -23,6 +23,15 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a) * dot(b, b)), F.lit(0.0))
 
 
+def _foremost(query: np.ndarray, row: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k largest cosines; ties go to the smaller row id."""
+    order = np.lexsort((row, -cosine, query))
+    query = query[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    kept = order[place < k]
+    return query[place < k], row[kept], cosine[kept]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, other_label: bool = True) -> DataFrame:
     """(vec_id, other_id, cosine): for each query its k most similar rows, of other labels only if asked.
 
@@ -43,26 +52,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, other_label: bool =
 
         def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             q_ids, q_labels, q_unit = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(q_ids)
+            best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # query, row id, cosine
             for frame in frames:
                 if not len(q_ids) or not len(frame):
                     continue
                 rows = np.array(frame["embedding"].tolist(), np.float64)
                 rows /= np.maximum(1e-300, np.linalg.norm(rows, axis=1, keepdims=True))
                 ids_, labels = frame["vec_id"].to_numpy(), frame["label"].to_numpy()
+                found = [best]
                 for lo in range(0, len(q_ids), 1024):
-                    sims = q_unit[lo : lo + 1024] @ rows.T
-                    for i in range(len(sims)):
-                        q = lo + i
-                        ok = ids_ != q_ids[q]
-                        if other_label:
-                            ok &= labels != q_labels[q]
-                        all_ids, all_sims = np.r_[best[q][0], ids_[ok]], np.r_[best[q][1], sims[i][ok]]
-                        top = np.lexsort((all_ids, -all_sims))[:k]
-                        best[q] = all_ids[top], all_sims[top]
-            out = [(int(q), int(o), float(c)) for q, (os, cs) in zip(q_ids, best) for o, c in zip(os, cs)]
-            if out:
-                yield pd.DataFrame(out, columns=["vec_id", "other_id", "cosine"])
+                    own = slice(lo, lo + 1024)
+                    sims = q_unit[own] @ rows.T
+                    sims[ids_[None] == q_ids[own, None]] = -np.inf
+                    if other_label:
+                        sims[labels[None] == q_labels[own, None]] = -np.inf
+                    # All that reach the k-th largest, ties with it included.
+                    least = np.partition(sims, -k, axis=1)[:, -k, None] if sims.shape[1] > k else -np.inf
+                    q, r = np.nonzero((sims >= least) & (sims > -np.inf))
+                    found.append((q + lo, ids_[r], sims[q, r]))
+                best = _foremost(*map(np.concatenate, zip(*found)), k)
+            if len(best[0]):
+                yield pd.DataFrame({"vec_id": q_ids[best[0]], "other_id": best[1], "cosine": best[2]})
 
         part = vectors.where("embedding is not null").select("vec_id", "label", "embedding").mapInPandas(scan, "vec_id long, other_id long, cosine double")
         found = part if found is None else found.unionByName(part)

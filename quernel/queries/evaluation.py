@@ -21,8 +21,9 @@ CE = "mx + ln(list_sum(list_transform(z, lambda x: exp(x - mx)))) - z[label + 1]
 LOGITS = "SELECT vec_id, label, z, list_max(z) AS mx FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE * 10) AS z FROM embeddings)"
 
 
-def predictions(s, d):
-    return E.unigram_predictions(table(s, d, "documents"))
+def scores(s, d, *by):
+    known = {"is_switch": F.col("pos") == 0, "is_boundary": F.col("pos") < 8, "mode": F.when(F.pmod("doc_id", F.lit(2)) == 0, "single").otherwise("mixed")}
+    return E.unigram_scores(table(s, d, "documents"), *[known[b].alias(b) for b in by])
 
 
 def logits(s, d):
@@ -44,20 +45,20 @@ HISTORY = "SELECT DISTINCT run_id, arm, step, loss FROM history WHERE loss IS NO
 
 QUERIES = {
     "a11_loss_by_domain": (
-        lambda s, d: E.by_domain_and_overall(predictions(s, d), F.round(F.avg("nll"), 6).alias("loss"), F.count(F.lit(1)).alias("n")),
+        lambda s, d: E.by_domain_and_overall(scores(s, d), F.round(E.weighted_mean("nll"), 6).alias("loss"), F.sum("n").alias("n")),
         f"SELECT domain, round(avg(nll), 6) AS loss, count(*) AS n FROM ({PREDICTIONS}) GROUP BY GROUPING SETS ((domain), ())",
     ),
     "a13_bits_per_byte": (
-        lambda s, d: E.bits_per_byte_by_domain(predictions(s, d), table(s, d, "documents")),
+        lambda s, d: E.bits_per_byte_by_domain(scores(s, d), table(s, d, "documents")),
         f"""SELECT domain, round(sum(nats) / ln(2.0::DOUBLE) / sum(bytes), 6) AS bpb, round(exp(sum(nats) / sum(n)), 3) AS ppl FROM (SELECT domain, sum(nll) AS nats, count(*) AS n FROM ({PREDICTIONS}) GROUP BY domain)
         JOIN (SELECT coalesce(domain, 'none') AS domain, sum(octet_length(encode(text))) AS bytes FROM documents WHERE text IS NOT NULL GROUP BY ALL) USING (domain) GROUP BY GROUPING SETS ((domain), ())""",
     ),
     "a14_switch_accuracy": (
-        lambda s, d: predictions(s, d).where("is_switch").groupBy("domain").agg(F.round(F.avg(F.col("correct").cast("double")), 6).alias("accuracy"), F.count(F.lit(1)).alias("n")),
+        lambda s, d: scores(s, d, "is_switch").where("is_switch").groupBy("domain").agg(F.round(E.weighted_mean(F.col("correct").cast("double")), 6).alias("accuracy"), F.sum("n").alias("n")),
         f"SELECT domain, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy, count(*) AS n FROM ({PREDICTIONS}) WHERE is_switch GROUP BY domain",
     ),
     "a15_boundary_loss": (
-        lambda s, d: predictions(s, d).groupBy((F.col("pos") < 8).alias("is_boundary")).agg(F.round(F.avg("nll"), 6).alias("loss"), F.count(F.lit(1)).alias("n")),
+        lambda s, d: scores(s, d, "is_boundary").groupBy("is_boundary").agg(F.round(E.weighted_mean("nll"), 6).alias("loss"), F.sum("n").alias("n")),
         f"SELECT pos < 8 AS is_boundary, round(avg(nll), 6) AS loss, count(*) AS n FROM ({PREDICTIONS}) GROUP BY ALL",
     ),
     "a16_exact_match": (
@@ -71,7 +72,7 @@ QUERIES = {
         f"""SELECT suite, round(avg(CAST(answer = kept AS DOUBLE)), 6) AS exact_match FROM ({CLOZE}) JOIN (SELECT suite, arg_min(answer, (-c, answer)) AS kept FROM (SELECT suite, answer, count(*) AS c FROM ({CLOZE}) WHERE answer NOT IN ({", ".join(repr(w) for w in STOPWORDS)}) GROUP BY ALL) GROUP BY suite) USING (suite) GROUP BY suite""",
     ),
     "a18_target_perplexity": (
-        lambda s, d: predictions(s, d).groupBy("domain").agg(F.round(M.perplexity(F.sum("nll"), F.count(F.lit(1))), 3).alias("ppl"), F.round(F.sum("nll") / M.LN2 / F.count(F.lit(1)), 6).alias("bits")),
+        lambda s, d: scores(s, d).groupBy("domain").agg(F.round(M.perplexity(F.sum(F.col("nll") * F.col("n")), F.sum("n")), 3).alias("ppl"), F.round(E.weighted_mean("nll") / M.LN2, 6).alias("bits")),
         f"SELECT domain, round(exp(sum(nll) / count(*)), 3) AS ppl, round(sum(nll) / ln(2.0::DOUBLE) / count(*), 6) AS bits FROM ({PREDICTIONS}) GROUP BY domain",
     ),
     "a19_single_word_coverage": (
@@ -87,11 +88,11 @@ QUERIES = {
         f"SELECT error, item_id, answer FROM ({ERRORS}) QUALIFY row_number() OVER (PARTITION BY error ORDER BY item_id) <= 5",
     ),
     "a21_calibration_error": (
-        lambda s, d: E.calibration_error(predictions(s, d)),
+        lambda s, d: E.calibration_error(scores(s, d)),
         f"""SELECT domain, round(sum(n * abs(c - a)) / sum(n), 6) AS ece FROM (SELECT domain, floor(least(confidence, 0.9999) * 10) AS bin, count(*) AS n, avg(confidence) AS c, avg(CAST(correct AS DOUBLE)) AS a FROM ({PREDICTIONS}) GROUP BY ALL) GROUP BY domain""",
     ),
     "f11_switch_and_content": (
-        lambda s, d: predictions(s, d).groupBy("domain", "is_switch").agg(F.count(F.lit(1)).alias("n")),
+        lambda s, d: scores(s, d, "is_switch").groupBy("domain", "is_switch").agg(F.sum("n").alias("n")),
         f"SELECT domain, is_switch, count(*) AS n FROM ({PREDICTIONS}) GROUP BY ALL",
     ),
     "f13_bounded_targets": (
@@ -99,8 +100,8 @@ QUERIES = {
         "SELECT label, count(*) AS n FROM embeddings WHERE label < 6 GROUP BY label",
     ),
     "e3_bits_per_byte_by_mode": (
-        lambda s, d: (lambda p, b: p.groupBy("mode").agg(F.sum("nll").alias("nats")).join(b, "mode").select("mode", F.round(F.col("nats") / M.LN2 / F.col("bytes"), 6).alias("bpb")))(
-            predictions(s, d).withColumn("mode", F.when(F.pmod("doc_id", F.lit(2)) == 0, "single").otherwise("mixed")),
+        lambda s, d: (lambda p, b: p.groupBy("mode").agg(F.sum(F.col("nll") * F.col("n")).alias("nats")).join(b, "mode").select("mode", F.round(F.col("nats") / M.LN2 / F.col("bytes"), 6).alias("bpb")))(
+            scores(s, d, "mode"),
             table(s, d, "documents").where("text is not null").groupBy(F.when(F.pmod("doc_id", F.lit(2)) == 0, "single").otherwise("mixed").alias("mode")).agg(F.sum(F.octet_length("text")).alias("bytes")),
         ),
         f"""SELECT mode, round(nats / ln(2.0::DOUBLE) / bytes, 6) AS bpb FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'single' ELSE 'mixed' END AS mode, sum(nll) AS nats FROM ({PREDICTIONS}) GROUP BY ALL)
@@ -112,7 +113,7 @@ QUERIES = {
         "SELECT before, domain, count(*) AS n FROM (SELECT coalesce(domain, 'none') AS domain, lag(coalesce(domain, 'none')) OVER (PARTITION BY shard_id ORDER BY doc_id) AS before FROM documents) WHERE before <> domain GROUP BY ALL",
     ),
     "a33_held_out_cross_entropy": (
-        lambda s, d: predictions(s, d).where("not is_switch").agg(F.round(F.sum("nll") / F.count(F.lit(1)), 6).alias("ce"), F.count(F.lit(1)).alias("n")),
+        lambda s, d: scores(s, d, "is_switch").where("not is_switch").agg(F.round(E.weighted_mean("nll"), 6).alias("ce"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")),
         f"SELECT round(sum(nll) / count(*), 6) AS ce, count(*) AS n FROM ({PREDICTIONS}) WHERE NOT is_switch",
     ),
     "a34_cost_extrapolation": (
@@ -128,7 +129,7 @@ QUERIES = {
         f"SELECT run_id, arm, step, round(loss * 100 / ln(2.0::DOUBLE) / greatest(step, 1), 6) AS bpb, round(exp(loss * 10 / 10), 3) AS ppl FROM ({HISTORY})",
     ),
     "e2_routed_bundle": (
-        lambda s, d: E.routed_bundle(predictions(s, d)),
+        lambda s, d: E.routed_bundle(scores(s, d, "is_switch", "is_boundary")),
         f"""SELECT round(avg(nll), 6) AS loss, round(avg(nll) FILTER (pos < 8), 6) AS boundary_loss, round(avg(nll) FILTER (pos >= 8), 6) AS interior_loss, round(avg(CAST(correct AS DOUBLE)) FILTER (is_switch), 6) AS switch_accuracy,
         CAST(count_if(is_switch) AS BIGINT) AS n_switches, count(*) AS n FROM ({PREDICTIONS})""",
     ),
@@ -146,7 +147,7 @@ QUERIES = {
         f"SELECT round(avg(m), 6) AS loss FROM (SELECT label, avg(pow(1 - exp(-ce), 2.0) * ce) AS m FROM ({ALL}) GROUP BY label)",
     ),
     "l4_confidence_bce": (
-        lambda s, d: predictions(s, d).groupBy("domain").agg(F.round(F.avg(M.confidence_bce(F.col("confidence"), F.col("correct"))), 5).alias("bce")),
+        lambda s, d: scores(s, d).groupBy("domain").agg(F.round(E.weighted_mean(M.confidence_bce(F.col("confidence"), F.col("correct"))), 5).alias("bce")),
         f"SELECT domain, round(avg(-CASE WHEN correct THEN ln(least(greatest(confidence, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE)) ELSE ln(1 - least(greatest(confidence, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE)) END), 5) AS bce FROM ({PREDICTIONS}) GROUP BY domain",
     ),
     "l6_split_means": (

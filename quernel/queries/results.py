@@ -139,7 +139,12 @@ QUERIES = {
         ),
         """SELECT run_id, arm, step, round(ce - lag(ce) OVER (PARTITION BY run_id, arm ORDER BY step), 6) AS delta, min(ce) OVER (PARTITION BY run_id, arm ORDER BY step ROWS UNBOUNDED PRECEDING) AS best FROM (SELECT run_id, arm, step, max(val_ce) AS ce FROM history WHERE val_ce IS NOT NULL GROUP BY ALL)""",
     ),
-    "r11_bootstrap_intervals": (bootstrap, None),
+    "r11_bootstrap_intervals": (
+        bootstrap,
+        f"""WITH u AS (SELECT arm, loss, draw, CAST(('0x' || substr(md5('boot|' || draw || '|' || run_id || '|' || arm || '|' || step), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM ({CLEAN}), range(200) t(draw)),
+        m AS (SELECT arm, draw, sum(w * loss) / nullif(sum(w), 0) AS m FROM (SELECT *, CASE WHEN u < 0.3679 THEN 0 WHEN u < 0.7358 THEN 1 WHEN u < 0.9197 THEN 2 ELSE 3 END AS w FROM u) GROUP BY arm, draw)
+        SELECT arm, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m GROUP BY arm""",
+    ),
     "o14_status_order": (
         lambda s, d: board(s, d).select("arm", "step", F.row_number().over(Window.orderBy(F.col("step") < 3000, F.desc("step"), "arm")).cast("long").alias("place")),
         f"SELECT arm, step, row_number() OVER (ORDER BY step < 3000, step DESC, arm) AS place FROM ({BOARD})",
@@ -160,7 +165,13 @@ QUERIES = {
     ),
     "x4_controller_fold": (
         lambda s, d: X.controlled(clean(s, d), ["run_id", "arm"], ["step"], "loss", patience=20).select("run_id", "arm", F.round("scale", 6).alias("scale"), "skipped", F.round("ema", 6).alias("ema")),
-        None,
+        f"""WITH RECURSIVE c AS (SELECT run_id, arm, list(loss ORDER BY step) AS xs FROM ({CLEAN}) GROUP BY ALL),
+        f AS (SELECT run_id, arm, xs, 0 AS i, 1.0::DOUBLE AS scale, 0::BIGINT AS skipped, NULL::DOUBLE AS ema, NULL::DOUBLE AS best, 0::BIGINT AS since, CAST([] AS DOUBLE[]) AS kept FROM c UNION ALL
+        SELECT run_id, arm, xs, i + 1, CASE WHEN skip THEN scale ELSE least(3.0::DOUBLE, greatest(0.1::DOUBLE, CASE WHEN since1 >= 20 THEN scale * 0.5::DOUBLE WHEN better THEN scale * 1.02::DOUBLE ELSE scale * 0.98::DOUBLE END)) END,
+        CASE WHEN skip THEN skipped + 1 ELSE skipped END, CASE WHEN skip THEN ema ELSE new END, CASE WHEN skip OR NOT better THEN best ELSE new END, CASE WHEN skip THEN since WHEN since1 >= 20 THEN 0 ELSE since1 END, CASE WHEN skip THEN kept ELSE list_slice(list_append(kept, x), -50, -1) END
+        FROM (SELECT *, CASE WHEN better THEN 0 ELSE since + 1 END AS since1 FROM (SELECT *, best IS NULL OR new < best AS better FROM (SELECT *, coalesce(len(kept) >= 25 AND x > 3 * list_sum(kept) / len(kept), false) AS skip,
+        coalesce(ema * 0.98::DOUBLE + x * (1 - 0.98::DOUBLE), x) AS new FROM (SELECT *, xs[i + 1] AS x FROM f WHERE i < len(xs))))))
+        SELECT run_id, arm, round(scale, 6) AS scale, skipped, round(ema, 6) AS ema FROM f WHERE i = len(xs)""",
     ),
     "l5_normalised_losses": (
         lambda s, d: clean(s, d).join(X.ema(clean(s, d), ["run_id", "arm"], ["step"], "loss", 0.98), ["run_id", "arm"]).groupBy("run_id", "arm").agg(F.round(F.sum(F.when(F.abs("ema") > 1e-8, F.col("loss") / F.col("ema"))), 5).alias("total")),

@@ -188,7 +188,12 @@ QUERIES = {
         lambda s, d: s.range(1, 1001).select(F.col("id").alias("step"), F.when(F.col("id") <= 600, "a").otherwise("b").alias("stream"), F.when(F.col("id") <= 600, 0).otherwise(1000).alias("pass_offset")),
         "SELECT i AS step, CASE WHEN i <= 600 THEN 'a' ELSE 'b' END AS stream, CASE WHEN i <= 600 THEN 0 ELSE 1000 END AS pass_offset FROM range(1, 1001) t(i)",
     ),
-    "o17_temperature_draws": (temperature, None),
+    "o17_temperature_draws": (
+        temperature,
+        """WITH w AS (SELECT domain, source, pow(weight, 1 / 0.7::DOUBLE) AS weight FROM blend)
+        SELECT domain, CAST(draw AS INT) AS draw, arg_min(source, high) AS source FROM (SELECT domain, source, sum(weight) OVER (PARTITION BY domain ORDER BY source ROWS UNBOUNDED PRECEDING) / sum(weight) OVER (PARTITION BY domain) AS high FROM w)
+        JOIN (SELECT DISTINCT domain, draw, CAST(('0x' || substr(md5('temperature|' || domain || '|' || draw), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM blend, range(400) t(draw)) USING (domain) WHERE u < high GROUP BY domain, draw""",
+    ),
     "o18_sample_sizes": (
         lambda s, d: S.sized_samples(usable(s, d, "source"), table(s, d, "blend").select("source", "weight"), "source", "weight", 100, "doc_id", "sized").select("source", "doc_id"),
         f"""SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('sized|' || doc_id), doc_id) AS r FROM documents WHERE {USABLE}) JOIN blend USING (source) WHERE r <= round(weight * 100)""",

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import ordering as H
 from quernel.functions import text as T
 from quernel.operators import vocabulary as V
+from quernel.operators.quality import STOPWORDS
 from quernel.session import small, table
 
 COUNTS = "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM documents) GROUP BY word"
@@ -118,7 +121,7 @@ QUERIES = {
         f"SELECT item_id, level, count(*) AS n_words, CAST(sum(n_tokens) AS BIGINT) AS n_tokens FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM eval_item) JOIN ({LEVELS}) USING (word) GROUP BY ALL",
     ),
     "t6_vocabulary_offsets": (
-        lambda s, d: s.createDataFrame([("surface", 0, surface(s, d).count() + 4), ("syllable", 1, syllable(s, d).count() + 4), ("morpheme", 2, morpheme(s, d).count() + 4), ("byte", 3, 260)], "kind string, type_id int, size long")
+        lambda s, d: reduce(DataFrame.unionByName, [v.agg((F.count(F.lit(1)) + more).alias("size")).select(F.lit(kind).alias("kind"), F.lit(i).alias("type_id"), "size") for i, (kind, v, more) in enumerate([("surface", surface(s, d), 4), ("syllable", syllable(s, d), 4), ("morpheme", morpheme(s, d), 4), ("byte", s.range(0), 260)])])
         .withColumn("offset", F.coalesce(F.sum("size").over(Window.orderBy("type_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))),
         f"""SELECT kind, type_id, size, CAST(coalesce(sum(size) OVER (ORDER BY type_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM (SELECT 'surface' AS kind, 0 AS type_id, count(*) + 4 AS size FROM ({SURFACE})
         UNION ALL SELECT 'syllable', 1, count(*) + 4 FROM ({SYLLABLE}) UNION ALL SELECT 'morpheme', 2, count(*) + 4 FROM ({MORPHEME}) UNION ALL SELECT 'byte', 3, 260)""",
@@ -129,8 +132,8 @@ QUERIES = {
         f"SELECT doc_id, tokenizer_kind, CAST(CASE WHEN tokenizer_kind = 'bpe' THEN len({SIGNS}) ELSE len(regexp_extract_all(lower(text), '[a-z'']+')) END AS BIGINT) AS n_tokens FROM documents JOIN domain_dim USING (domain) WHERE text IS NOT NULL",
     ),
     "t11_stopword_ids": (
-        lambda s, d: table(s, d, "token_vocab").join(F.broadcast(s.createDataFrame([(v,) for w in ("the", "and", "of", "in", "that") for v in (w, " " + w, w.capitalize(), " " + w.capitalize())], "piece string")), "piece").select("token_id").distinct(),
-        "SELECT DISTINCT token_id FROM token_vocab WHERE piece IN (SELECT v FROM (SELECT unnest([w, ' ' || w, upper(w[1]) || w[2:], ' ' || upper(w[1]) || w[2:]]) AS v FROM (VALUES ('the'), ('and'), ('of'), ('in'), ('that')) t(w)))",
+        lambda s, d: table(s, d, "token_vocab").join(F.broadcast(s.createDataFrame([(v,) for w in STOPWORDS for v in (w, " " + w, w.capitalize(), " " + w.capitalize())], "piece string")), "piece").select("token_id").distinct(),
+        f"SELECT DISTINCT token_id FROM token_vocab WHERE piece IN (SELECT v FROM (SELECT unnest([w, ' ' || w, upper(w[1]) || w[2:], ' ' || upper(w[1]) || w[2:]]) AS v FROM (VALUES {', '.join(f"('{w}')" for w in STOPWORDS)}) t(w)))",
     ),
     "t12_range_guard": (
         lambda s, d: table(s, d, "token_vocab").agg(F.max("token_id").alias("largest"), (F.max("token_id") < 65536).alias("fits")),
