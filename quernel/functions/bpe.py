@@ -32,12 +32,12 @@ def bpe_codec(spark, path: str, pattern: str):
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = _encoding(shared.value, pattern)
         for texts in batches:
-            yield texts.map(lambda t: None if t is None else e.encode_ordinary(t))
+            yield pd.Series([None if t is None else ids for t, ids in zip(texts, e.encode_ordinary_batch([t or "" for t in texts], num_threads=1))], dtype=object)
 
     @pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = _encoding(shared.value, pattern)
         for ids in batches:
-            yield ids.map(lambda i: None if i is None else e.decode(list(i)))
+            yield pd.Series([None if i is None else t for i, t in zip(ids, e.decode_batch([[] if i is None else list(i) for i in ids], num_threads=1))], dtype=object)
 
     return encode, decode

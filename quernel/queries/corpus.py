@@ -83,6 +83,12 @@ def passes(spark, d, n=3):
     return H.hash_ranked(keyed, "pass", "k", ["domain", "pass_num"]).select("domain", "pass_num", "doc_id", "rank")
 
 
+def passes_in_order(spark, d, n=3):
+    docs = table(spark, d, "documents").where(T.not_blank(F.col("text"))).select("domain", "doc_id", F.lit(1).alias("one"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("pass_num"))
+    ranked = prefix_sum(docs, ["domain", "pass_num"], [F.col("doc_id")], "one", "before", F.floor(F.col("doc_id") / 4096).cast("int"))
+    return ranked.select("domain", "pass_num", "doc_id", (F.col("before") + 1).alias("rank"))
+
+
 def tagged_corpus(spark, d):
     """Each shard's corpus written as tagged, separator-joined text and parsed again."""
     docs = table(spark, d, "documents").where(T.not_blank(F.col("text")) & F.col("domain").isNotNull())
@@ -117,6 +123,10 @@ QUERIES = {
         """SELECT domain, pass_num, doc_id, row_number() OVER (PARTITION BY domain, pass_num ORDER BY md5('pass|' || pass_num || '|' || doc_id), pass_num || '|' || doc_id) AS rank
         FROM documents, (SELECT unnest([0, 1, 2]) AS pass_num) WHERE regexp_matches(text, '\\S')""",
     ),
+    "s4_passes_in_order": (
+        passes_in_order,
+        "SELECT domain, pass_num, doc_id, row_number() OVER (PARTITION BY domain, pass_num ORDER BY doc_id) AS rank FROM documents, (SELECT unnest([0, 1, 2]) AS pass_num) WHERE regexp_matches(text, '\\S')",
+    ),
     "s5_classified_stream": (
         lambda s, d: classified(s, d).where("label <> 'nlp'"),
         f"SELECT * FROM ({_classified(SEEN, C.DOMAINS, chr(39) + 'nlp' + chr(39), 4)}) WHERE label <> 'nlp'",

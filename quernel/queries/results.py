@@ -163,6 +163,11 @@ QUERIES = {
         lambda s, d: X.ema(clean(s, d), ["run_id", "arm"], ["step"], "loss", 0.98).withColumn("ema", F.round("ema", 6)),
         f"SELECT run_id, arm, round(list_reduce(list(loss ORDER BY step), lambda a, x: a * 0.98::DOUBLE + x * (1 - 0.98::DOUBLE)), 6) AS ema FROM ({CLEAN}) GROUP BY run_id, arm",
     ),
+    "x5_last_good_state": (
+        lambda s, d: table(s, d, "history").where("loss is not null and not isnan(loss) and val_ce is not null").groupBy("run_id", "arm").agg(F.max("step").alias("resume_from"))
+        .join(table(s, d, "history").groupBy("run_id", "arm").agg(F.max("step").alias("newest")), ["run_id", "arm"], "right"),
+        "SELECT run_id, arm, max(step) FILTER (loss IS NOT NULL AND NOT isnan(loss) AND val_ce IS NOT NULL) AS resume_from, max(step) AS newest FROM history WHERE run_id IS NOT NULL AND arm IS NOT NULL GROUP BY run_id, arm",
+    ),
     "x4_controller_fold": (
         lambda s, d: X.controlled(clean(s, d), ["run_id", "arm"], ["step"], "loss", patience=20).select("run_id", "arm", F.round("scale", 6).alias("scale"), "skipped", F.round("ema", 6).alias("ema")),
         f"""WITH RECURSIVE c AS (SELECT run_id, arm, list(loss ORDER BY step) AS xs FROM ({CLEAN}) GROUP BY ALL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -11,8 +12,14 @@ from quernel.functions import ordering as H
 from quernel.functions import text as T
 from quernel.operators import vocabulary as V
 from quernel.operators.quality import STOPWORDS
+from quernel.functions.bpe import bpe_codec
 from quernel.session import small, table
 
+#: Where a public tokenizer's ranks lie; a missing file is an error when the query is run.
+RANKS = os.environ.get("QUERNEL_CODEC_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+#: Fixed value: how that tokenizer cuts a text before merging.
+RANKS_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 COUNTS = "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM documents) GROUP BY word"
 SIGNS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
 SURFACE = f"SELECT word AS piece, n, row_number() OVER (ORDER BY n DESC, word) - 1 AS r FROM ({COUNTS}) QUALIFY r < 800"
@@ -69,6 +76,13 @@ def bytes_per_token(s, d, pooled, most=150):
 FIRST = f"SELECT domain, len({SIGNS}) AS t, octet_length(encode(text)) AS b FROM documents WHERE regexp_matches(text, '\\S') AND domain IS NOT NULL QUALIFY row_number() OVER (PARTITION BY domain ORDER BY md5('bpt|' || doc_id), doc_id) <= 150"
 EVERY = f"SELECT domain, len({SIGNS}) AS t, octet_length(encode(text)) AS b FROM documents WHERE regexp_matches(text, '\\S') AND domain IS NOT NULL"
 
+def codec_round_trip(s, d):
+    """Every text encoded by a public tokenizer and decoded again."""
+    encode, decode = bpe_codec(s, RANKS, RANKS_PATTERN)
+    ids = table(s, d, "documents").where("text is not null").select("doc_id", encode("text").alias("ids"))
+    return ids.select("doc_id", F.md5(decode("ids")).alias("decoded"), (F.size("ids") > 0).alias("has_ids"))
+
+
 QUERIES = {
     "a1_words_per_side": (
         lambda s, d: table(s, d, "documents").groupBy("domain", "side").agg(F.sum(F.coalesce(T.word_count(F.col("text")), F.lit(0))).alias("n_words")),
@@ -135,6 +149,10 @@ QUERIES = {
         lambda s, d: table(s, d, "token_vocab").join(F.broadcast(s.createDataFrame([(v,) for w in STOPWORDS for v in (w, " " + w, w.capitalize(), " " + w.capitalize())], "piece string")), "piece").select("token_id").distinct(),
         f"SELECT DISTINCT token_id FROM token_vocab WHERE piece IN (SELECT v FROM (SELECT unnest([w, ' ' || w, upper(w[1]) || w[2:], ' ' || upper(w[1]) || w[2:]]) AS v FROM (VALUES {', '.join(f"('{w}')" for w in STOPWORDS)}) t(w)))",
     ),
+    "t2_codec_round_trip": (
+        codec_round_trip,
+        "SELECT doc_id, md5(text) AS decoded, text <> '' AS has_ids FROM documents WHERE text IS NOT NULL",
+    ),
     "t12_range_guard": (
         lambda s, d: table(s, d, "token_vocab").agg(F.max("token_id").alias("largest"), (F.max("token_id") < 65536).alias("fits")),
         "SELECT max(token_id) AS largest, max(token_id) < 65536 AS fits FROM token_vocab",

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -33,6 +36,58 @@ def read_json_cache(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("text").rlike(r"\S"))
 
 
+def cached_or(spark: SparkSession, cache: str, source: Callable[[], DataFrame]) -> DataFrame:
+    """The JSON cache at ``cache`` where there is one, else what ``source`` opens; the source isn't touched then."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return read_json_cache(spark, cache) if there else source()
+
+
+def line_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """(path, offset, length): where each line of the text files under ``path`` lies, from one scan.
+
+    A file is one task here, as a line's place needs all bytes before it; files are scanned side by side.
+    """
+    schema = "path string, offset long, length long"
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name in frame["path"]:
+                system, place = FileSystem.from_uri(name)
+                with system.open_input_stream(place) as stream, io.BufferedReader(stream, 1 << 20) as lines:
+                    at, rows = 0, []
+                    for line in lines:
+                        rows.append((name, at, len(line.rstrip(b"\r\n"))))
+                        at += len(line)
+                        if len(rows) == 100_000:
+                            yield pd.DataFrame(rows, columns=["path", "offset", "length"])
+                            rows = []
+                    yield pd.DataFrame(rows, columns=["path", "offset", "length"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    return files.mapInPandas(scan, schema)
+
+
+def lines_at(wanted: DataFrame) -> DataFrame:
+    """(path, offset, line): the lines at the places of ``wanted`` (path, offset, length), each read by a seek.
+
+    The places of a file are spread over tasks, so a file that holds a third of all lines is read by many.
+    """
+
+    def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lines = pd.Series([""] * len(frame), index=frame.index, dtype=object)
+            for name, own in frame.groupby("path"):
+                system, place = FileSystem.from_uri(name)
+                with system.open_input_file(place) as file:
+                    for i, offset, length in zip(own.index, own["offset"], own["length"]):
+                        file.seek(int(offset))
+                        lines[i] = file.read(int(length)).decode("utf-8", "replace")
+            yield frame[["path", "offset"]].assign(line=lines)
+
+    return wanted.select("path", "offset", "length").mapInPandas(fetch, "path string, offset long, line string")
+
+
 def write_json_cache(df: DataFrame, path: str) -> None:
     """The text column as JSON lines."""
     df.select("text").write.mode("overwrite").json(path)

@@ -179,6 +179,41 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.read_if_there(spark, str(tmp_path / "none")).count() == 0 and readers.read_if_there(spark, str(tmp_path / "p")).count() == 3
 
 
+def test_lines_by_their_offsets(spark, tmp_path):
+    df = spark.createDataFrame([(f"line {i} é" * (i % 3 + 1),) for i in range(50)] + [("",)], "text string")
+    df.repartition(3).write.text(str(tmp_path / "t"))
+    places = readers.line_offsets(spark, f"file://{tmp_path}/t")
+    assert places.count() == 51 and places.where("offset = 0").count() == 3
+    assert sorted(r.line for r in readers.lines_at(places).collect()) == sorted(r.text for r in df.collect())
+    some = places.where("offset % 2 = 0").repartition(5)
+    got = {(r.path, r.offset): r.line for r in readers.lines_at(some).collect()}
+    assert len(got) == some.count() and all(len(got[r.path, r.offset].encode()) == r.length for r in some.collect())
+    assert readers.lines_at(places.limit(0)).count() == 0
+
+
+def test_a_cache_comes_before_its_source(spark, tmp_path):
+    opened = []
+
+    def source():
+        opened.append(1)
+        return spark.createDataFrame([("from the source",)], "text string")
+
+    cache = str(tmp_path / "cache")
+    assert readers.cached_or(spark, cache, source).first().text == "from the source"
+    readers.write_json_cache(spark.createDataFrame([("from the cache",)], "text string"), cache)
+    assert readers.cached_or(spark, cache, source).first().text == "from the cache" and len(opened) == 1
+
+
+def test_copy_words_in_rows(spark):
+    from quernel.operators import quality
+
+    filler = " ".join(f"w{i}" for i in range(20)).replace("w", "x")
+    rows = [(1, f"Harbour {filler} harbour"), (2, f"harbour harbour {filler}"), (3, None), (4, ""), (1, f"Harbour {filler} harbour"), (5, f"about {filler} about ship {filler} ship")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("word", F.lit("x"))
+    assert sorted(map(tuple, quality.copy_words(df).collect())) == [(1, "harbour"), (1, "harbour")]
+    assert sorted(r.doc_id for r in quality.copy_structured(df).collect()) == [1, 1]
+
+
 def test_retries():
     waits, tries = [], []
 
