@@ -143,3 +143,11 @@ def packing_report(placed: DataFrame, windows: DataFrame) -> DataFrame:
         .join(small(windows.select("window_name", "capacity_tokens")), "window_name")
         .select("window_name", "n_windows", "n_tokens", (1 - F.col("n_tokens") / (F.col("n_windows") * F.col("capacity_tokens"))).alias("unused_share"), "cost_spread")
     )
+
+
+def conservation(placed: DataFrame, windows: DataFrame) -> DataFrame:
+    """Per window: n_tokens and n_docs that lie somewhere, and n_overfull, the sequences above the capacity."""
+    each = placed.groupBy("window_name", "window_id").agg(F.sum("n_tokens").alias("held"))
+    capacity = small(windows.select("window_name", "capacity_tokens").where("capacity_tokens > 0").distinct())
+    over = each.join(capacity, "window_name").groupBy("window_name").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("n_overfull"))
+    return placed.groupBy("window_name").agg(F.sum("n_tokens").alias("n_tokens"), F.countDistinct("doc_id").alias("n_docs")).join(small(over), "window_name")

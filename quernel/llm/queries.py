@@ -18,7 +18,7 @@ def _counter(spark: SparkSession, d: str):
     return token_budget.vocabulary_counter(table(spark, d, "token_vocab"))
 
 
-#: Where the public tokenizer lies whose merges p2_bpe_totals counts with; the query is there if the file is.
+#: Where the public tokenizer lies whose merges p2_bpe_totals counts with; a missing file is an error when it is run.
 TOKENIZER = os.environ.get("QUERNEL_BPE_RANKS", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: how that tokenizer cuts a text before merging.
 TOKENIZER_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -100,6 +100,11 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(p6_packing(spark, d), table(spark, d, "window_spec"))
 
 
+def p6_conservation(spark: SparkSession, d: str) -> DataFrame:
+    """Per window: the tokens and documents that are placed, and the containers filled beyond their capacity."""
+    return packing.conservation(p6_packing(spark, d), table(spark, d, "window_spec"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item")).select("doc_id", "item_id")
 
@@ -129,6 +134,8 @@ _SLICES = "(SELECT shard_id, source, lang, sum(n) AS n FROM tokens GROUP BY ALL)
 SQL = {
     "p2_found": f"{_TOKENS} SELECT DISTINCT s.shard_id, s.source, s.lang FROM shard_source s LEFT JOIN {_SLICES} WHERE abs(actual_tokens - coalesce(n, 0)) > 0.15 * coalesce(n, 0)",
     "p2_token_totals": f"{_TOKENS} SELECT shard_id, source, lang, domain, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM tokens GROUP BY ALL",
+    "p6_conservation": f"""{_TOKENS}, sizes AS (SELECT doc_id, n FROM tokens WHERE n > 0)
+        SELECT window_name, CAST(sum(n) AS BIGINT) AS n_tokens, count(*) AS n_docs, CAST(0 AS BIGINT) AS n_overfull FROM sizes, (SELECT DISTINCT window_name, capacity_tokens FROM window_spec WHERE capacity_tokens > 0) GROUP BY window_name""",
     "p5_found": f"""{_TOKENS} SELECT DISTINCT s.shard_id, s.source, s.lang FROM shard_source s LEFT JOIN {_SLICES} JOIN token_shard x ON s.shard_id = x.shard_id
         WHERE coalesce(n, 0) * max_repeats < target_weight * target_tokens""",
 }
@@ -136,10 +143,7 @@ SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The functions named after the problems, in the order of their names' definition."""
-    found = {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
-    if not os.path.exists(TOKENIZER):
-        del found["p2_bpe_totals"]
-    return found
+    return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
