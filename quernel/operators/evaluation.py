@@ -31,6 +31,11 @@ def weighted_mean(value: str | Column, where: Column | None = None) -> Column:
     return F.sum(value * n) / F.nullif(F.sum(n), F.lit(0))
 
 
+def weighted(rows: DataFrame) -> DataFrame:
+    """``rows`` with a weight ``n``: each stands for itself where they have none."""
+    return rows if "n" in rows.columns else rows.withColumn("n", F.lit(1).cast("long"))
+
+
 def by_domain_and_overall(rows: DataFrame, *measures: Column) -> DataFrame:
     """The measures per domain and over all rows (domain null), from one pass of grouping sets."""
     return rows.groupingSets([["domain"], []], "domain").agg(*measures)
@@ -38,7 +43,7 @@ def by_domain_and_overall(rows: DataFrame, *measures: Column) -> DataFrame:
 
 def routed_bundle(scores: DataFrame) -> DataFrame:
     """Loss, boundary and interior loss, switch accuracy and counts of ``unigram_scores`` by is_switch and is_boundary."""
-    return scores.agg(
+    return weighted(scores).agg(
         F.round(weighted_mean("nll"), 6).alias("loss"),
         F.round(weighted_mean("nll", F.col("is_boundary")), 6).alias("boundary_loss"),
         F.round(weighted_mean("nll", ~F.col("is_boundary")), 6).alias("interior_loss"),
@@ -50,13 +55,13 @@ def routed_bundle(scores: DataFrame) -> DataFrame:
 
 def calibration_error(scores: DataFrame) -> DataFrame:
     """(domain, ece): weighted gaps between mean confidence and accuracy over equal-width bins."""
-    bins = scores.groupBy("domain", calibration_bin(F.col("confidence")).alias("bin")).agg(weighted_mean("confidence").alias("c"), weighted_mean(F.col("correct").cast("double")).alias("a"), F.sum("n").alias("n"))
+    bins = weighted(scores).groupBy("domain", calibration_bin(F.col("confidence")).alias("bin")).agg(weighted_mean("confidence").alias("c"), weighted_mean(F.col("correct").cast("double")).alias("a"), F.sum("n").alias("n"))
     return bins.groupBy("domain").agg(F.round(F.sum(F.col("n") * F.abs(F.col("c") - F.col("a"))) / F.sum("n"), 6).alias("ece"))
 
 
 def bits_per_byte_by_domain(scores: DataFrame, docs: DataFrame) -> DataFrame:
     """(domain, bpb, ppl): nats of the words over the bytes of the documents that hold them; null is all."""
-    nats = scores.groupBy("domain").agg(F.sum(F.col("nll") * F.col("n")).alias("nats"), F.sum("n").alias("n"))
+    nats = weighted(scores).groupBy("domain").agg(F.sum(F.col("nll") * F.col("n")).alias("nats"), F.sum("n").alias("n"))
     sizes = docs.where("text is not null").groupBy(F.coalesce("domain", F.lit("none")).alias("domain")).agg(F.sum(F.octet_length("text")).alias("bytes"))
     joined = nats.join(sizes, "domain")
     return by_domain_and_overall(joined, F.round(F.sum("nats") / LN2 / F.sum("bytes"), 6).alias("bpb"), F.round(F.exp(F.sum("nats") / F.sum("n")), 3).alias("ppl"))
