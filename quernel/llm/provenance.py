@@ -8,8 +8,9 @@ lengths, comment density and the like, and overlap with library files: the first
 files without a label look like labelled ones and the other way round, and the second is trained without those, as
 what they are isn't known. The second forest scores every file, labelled or not.
 
-A file is a case where the forest says so, or where its own notice does: generated code can look as if written by
-hand, and then nothing but the notice tells. A path alone makes no case; hand-written files lie in such folders too.
+A file is a case where the forest says so, or where it is declared to be one: by its own notice, or by lying in the folder
+of an outside library. Generated code and the code of a library that isn't known can look as if written by hand
+here, and then nothing else tells. Other folders and names make no case alone.
 
 The forest is fitted on at most ``MOST_ROWS`` rows of each label, drawn by hash; every file is scored.
 """
@@ -52,6 +53,9 @@ PATHS = re.compile(
     re.I,
 )
 
+#: Those of the paths that name a library's own folder.
+LIBRARY_FOLDERS = re.compile(r"(?:^|/)(?:vendor|third_party|thirdparty|node_modules|deps|external|extern|godeps)/[^/]+/", re.I)
+
 #: Comments and strings, whichever starts first: what looks like a comment inside a string is none.
 _PARTS = re.compile(
     r"(?P<comment>/\*.*?\*/|(?<![:\w])//[^\n]*|^[ \t]*(?:\"{3}.*?\"{3}|'{3}.*?'{3})[ \t]*$|^[ \t]*#(?!include|define|if|end|pragma)[^\n]*|^--[^\n]*)"
@@ -165,7 +169,7 @@ def _overlap(shared, size):
 
 
 def _measured(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """(file_id, fold, blank, noticed, label, measures): every file with code, with the values of ``FEATURES``.
+    """(file_id, fold, blank, declared, label, measures): every file with code, with the values of ``FEATURES``.
 
     The library files' runs of words are broadcast if they are few; otherwise files' runs are joined to them by
     shuffle, which gives the same.
@@ -175,31 +179,32 @@ def _measured(files: DataFrame, upstream: DataFrame) -> DataFrame:
     few = known.limit(MOST_RUNS + 1).count() <= MOST_RUNS
     held = files.sparkSession.sparkContext.broadcast(np.sort(known.toPandas()["__run"].to_numpy(np.int64))) if few else None
 
-    @pandas_udf("struct<noticed:boolean,label:double,measures:array<double>,size:int,shared:int,runs:array<bigint>>")
+    @pandas_udf("struct<declared:boolean,label:double,measures:array<double>,size:int,shared:int,runs:array<bigint>>")
     def look(codes: pd.Series, paths: pd.Series) -> pd.DataFrame:
         out = []
         for code, path in zip(codes, paths):
             noticed, measures, own = features(code)
-            label = float(noticed or bool(path and PATHS.search(path)))
+            declared = noticed or bool(path and LIBRARY_FOLDERS.search(path))
+            label = float(declared or bool(path and PATHS.search(path)))
             if held is not None:
                 at = np.searchsorted(held.value, own)
                 shared = int((held.value[np.minimum(at, len(held.value) - 1)] == own).sum()) if len(held.value) else 0
-                out.append((noticed, label, measures, len(own), shared, []))
+                out.append((declared, label, measures, len(own), shared, []))
             else:
-                out.append((noticed, label, measures, len(own), 0, own))
-        return pd.DataFrame(out, columns=["noticed", "label", "measures", "size", "shared", "runs"])
+                out.append((declared, label, measures, len(own), 0, own))
+        return pd.DataFrame(out, columns=["declared", "label", "measures", "size", "shared", "runs"])
 
     seen = files.where("code is not null").select(
         "file_id", F.pmod(F.xxhash64("code"), F.lit(FOLDS)).alias("fold"), (~F.col("code").rlike(r"\S")).alias("blank"), look("code", "path").alias("l")
     )
     if few:
-        return seen.select("file_id", "fold", "blank", "l.noticed", "l.label", F.concat("l.measures", F.array(_overlap(F.col("l.shared"), F.col("l.size")))).alias("measures"))
+        return seen.select("file_id", "fold", "blank", "l.declared", "l.label", F.concat("l.measures", F.array(_overlap(F.col("l.shared"), F.col("l.size")))).alias("measures"))
     seen = checkpointed(seen.select("*", F.xxhash64("l.runs").alias("__text")))
     # Files of equal runs are counted once, so a file that is copied a million times is one set of runs.
     alike = seen.select("__text", "l.runs").dropDuplicates(["__text"])
     shared = alike.select("__text", F.explode("runs").alias("__run")).join(known, "__run", "left_semi").groupBy("__text").agg(F.count(F.lit(1)).alias("__shared"))
     joined = seen.join(shared, "__text", "left")
-    return joined.select("file_id", "fold", "blank", "l.noticed", "l.label", F.concat("l.measures", F.array(_overlap(F.coalesce("__shared", F.lit(0)), F.col("l.size")))).alias("measures"))
+    return joined.select("file_id", "fold", "blank", "l.declared", "l.label", F.concat("l.measures", F.array(_overlap(F.coalesce("__shared", F.lit(0)), F.col("l.size")))).alias("measures"))
 
 
 def _sample(rows: DataFrame, label: float, n: int) -> DataFrame:
@@ -209,7 +214,7 @@ def _sample(rows: DataFrame, label: float, n: int) -> DataFrame:
 
 
 def judged(files: DataFrame, upstream: DataFrame) -> DataFrame:
-    """(file_id, noticed, score): whether a notice says that the file isn't hand-written, and the forest's score.
+    """(file_id, declared, score): whether a notice or a library's folder says that the file isn't hand-written, and the forest's score.
 
     Null code is left out, empty and blank code is scored 0. Repeated files are scored alike. Where no file
     or every file has a label, there is nothing to learn from and the score is the label.
@@ -218,10 +223,10 @@ def judged(files: DataFrame, upstream: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     seen = _measured(files, upstream)
-    base = checkpointed(seen.select("file_id", "fold", "blank", "noticed", "label", (F.element_at("measures", -1) == 2.0).alias("copied"), array_to_vector("measures").alias("features")))
+    base = checkpointed(seen.select("file_id", "fold", "blank", "declared", "label", (F.element_at("measures", -1) == 2.0).alias("copied"), array_to_vector("measures").alias("features")))
     sizes = {r.label: r.n for r in base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
-        return base.select("file_id", "noticed", F.col("label").alias("score"))
+        return base.select("file_id", "declared", F.col("label").alias("score"))
     score = vector_to_array("probability")[1]
     # At most 2 x MOST_ROWS rows: a few partitions hold them.
     rows = checkpointed(_sample(base, 1.0, sizes[1.0]).unionByName(_sample(base, 0.0, sizes[0.0])).coalesce(4))
@@ -240,12 +245,12 @@ def judged(files: DataFrame, upstream: DataFrame) -> DataFrame:
     # A label on a file that is half out of a library needs no forest to confirm it.
     trusted = checkpointed(scored.where((F.col("label") == 1.0) == ((F.col("s") > doubt) | F.col("copied"))).drop("s"))
     final = forest.fit(trusted if trusted.select("label").distinct().count() == 2 else rows)
-    return final.transform(base).select("file_id", "noticed", F.when(F.col("blank"), 0.0).otherwise(score).alias("score"))
+    return final.transform(base).select("file_id", "declared", F.when(F.col("blank"), 0.0).otherwise(score).alias("score"))
 
 
 def not_hand_written(files: DataFrame, upstream: DataFrame, least: float = 0.5) -> DataFrame:
-    """(file_id): files that are generated, minified, copied from libraries or mere data, by the forest or their own word."""
-    return judged(files, upstream).where(F.col("noticed") | (F.col("score") > least)).select("file_id").distinct()
+    """(file_id): files that are generated, minified, copied from libraries or mere data, by the forest or as declared."""
+    return judged(files, upstream).where(F.col("declared") | (F.col("score") > least)).select("file_id").distinct()
 
 
 def hand_written(files: DataFrame, upstream: DataFrame) -> DataFrame:

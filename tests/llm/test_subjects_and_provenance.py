@@ -125,10 +125,11 @@ def test_library_runs_by_shuffle_and_by_broadcast(spark, monkeypatch):
     assert sorted(map(str, V._measured(all_files, upstream).collect())) == want
 
 
-def test_a_path_alone_makes_no_case(spark):
+def test_of_paths_only_library_folders_declare(spark):
     all_files, upstream = files(spark)
-    moved = all_files.withColumn("path", F.when(F.col("file_id") == 3, "vendor/x/m.py").otherwise(F.col("path")))
-    assert 3 not in {r.file_id for r in V.not_hand_written(moved, upstream).collect()}
+    moved = all_files.withColumn("path", F.when(F.col("file_id") == 3, "build/m.py").when(F.col("file_id") == 5, "third_party/lib-1.2/m.py").otherwise(F.col("path")))
+    got = {r.file_id for r in V.not_hand_written(moved, upstream).collect()}
+    assert 3 not in got and 5 in got
 
 
 def test_files_all_alike(spark):
