@@ -23,76 +23,87 @@ RUN, BUCKETS = 4096, 256
 KEY = ["shard_id", "source", "lang"]
 
 
-def _same(a: str, b: str, keys: list[str]) -> Column:
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
-    return same
+def _key() -> Column:
+    """A slice's key as one column; null parts are equal to each other, and joins need no null-safe conditions."""
+    return F.struct(*KEY).alias("key")
 
 
 def demands(slices: DataFrame, shards: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each slice with demand_tokens, its documents' true_tokens, available_tokens and the passes it needs.
+    """Each slice with its number ``slice``, demand_tokens, its documents' true_tokens, available_tokens and the passes it needs.
 
     ``docs`` has shard_id, source, lang, doc_id, n_tokens. Null or negative weights, targets and repeats are 0.
-    Documents without tokens are no supply. Repeated slice rows count once.
+    Documents without tokens are no supply. Repeated slice rows count once. The numbers hold for one evaluation.
     """
-    supply = docs.where("n_tokens > 0").groupBy(*KEY).agg(F.sum("n_tokens").alias("true_tokens"))
+    supply = docs.where("n_tokens > 0").groupBy(_key()).agg(F.sum("n_tokens").alias("true_tokens"))
     wanted = (
-        slices.select(*KEY, "target_weight", "max_repeats").distinct().alias("a")
-        .join(shards.select("shard_id", "target_tokens").distinct().alias("b"), "shard_id", "left")
-        .select(*KEY, F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0)).alias("target_weight"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"), F.greatest(F.coalesce("target_tokens", F.lit(0)), F.lit(0)).alias("target_tokens"))
+        slices.select(_key(), "shard_id", "target_weight", "max_repeats")
+        .join(shards.select("shard_id", "target_tokens"), "shard_id", "left")
+        .select("key", F.greatest(F.coalesce("target_weight", F.lit(0.0)), F.lit(0.0)).alias("target_weight"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("max_repeats"), F.greatest(F.coalesce("target_tokens", F.lit(0)), F.lit(0)).alias("target_tokens"))
     )
-    both = wanted.alias("w").join(supply.alias("s"), _same("w", "s", KEY), "left").select("w.*", F.coalesce("s.true_tokens", F.lit(0)).alias("true_tokens"))
+    both = wanted.join(supply, "key", "left").withColumn("true_tokens", F.coalesce("true_tokens", F.lit(0))).distinct()
     demand = F.col("target_weight") * F.col("target_tokens")
     passes = F.least(F.col("max_repeats"), F.ceil(F.col("demand_tokens") / F.col("true_tokens")).cast("int"))
     return (
-        both.withColumn("demand_tokens", demand)
+        both.select("key.*", "target_weight", "max_repeats", "target_tokens", "true_tokens")
+        .withColumn("demand_tokens", demand)
         .withColumn("available_tokens", F.col("true_tokens") * F.col("max_repeats"))
         .withColumn("passes", F.when(F.col("true_tokens") > 0, passes).otherwise(0))
+        .withColumn("slice", F.monotonically_increasing_id())
     )
 
 
 def slots(wanted: DataFrame) -> DataFrame:
-    """(shard_id, source, lang, slot, rank): the slice of every slot and the slot's rank among its slice's.
+    """(slice, run, slots): the slots of every slice in each run of slots, ascending.
 
-    A slice whose weight no point falls on gets one slot at the shard's end.
+    A slice whose weight no point falls on isn't among them.
     """
-    w = Window.partitionBy("shard_id").orderBy("source", "lang").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("shard_id").orderBy("source", "lang", "target_weight", "max_repeats", "target_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = Window.partitionBy("shard_id")
-    shares = wanted.where("demand_tokens > 0").select(*KEY, "target_tokens", (F.sum("target_weight").over(w) / F.sum("target_weight").over(total)).alias("high"))
+    shares = wanted.where("demand_tokens > 0").select("slice", *KEY, "target_tokens", (F.sum("target_weight").over(w) / F.sum("target_weight").over(total)).alias("high"))
     plan = shares.groupBy("shard_id").agg(
-        F.sort_array(F.collect_list(F.struct("high", "source", "lang"))).alias("cuts"),
+        F.sort_array(F.collect_list(F.struct("high", "source", "lang", "slice"))).alias("cuts"),
         F.ceil(F.max("target_tokens") / BLOCK).cast("long").alias("n"),
     )  # one entry per slice of the shard: the catalogue, not its documents
-    runs = plan.select("shard_id", "cuts", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN).cast("long"))).alias("run"))
-    each = runs.select("shard_id", "cuts", "run", F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("n") - 1, F.col("run") * RUN + RUN - 1))).alias("slot"))
-    point = (F.col("slot") + 0.5) * GOLDEN - F.floor((F.col("slot") + 0.5) * GOLDEN)
-    hit = F.coalesce(F.element_at(F.filter("cuts", lambda c: point < c["high"]), 1), F.element_at("cuts", -1))
-    drawn = each.select("shard_id", "run", "slot", hit.alias("c")).select("shard_id", "c.source", "c.lang", "run", "slot")
-    ranked = prefix_sum(drawn.withColumn("__one", F.lit(1)), KEY, [F.col("slot")], "__one", "rank", F.col("run")).drop("__one", "run")
-    missing = shares.alias("a").join(drawn.select(*KEY).distinct().alias("b"), _same("a", "b", KEY), "left_anti")
-    tail = missing.select(*KEY, F.ceil(F.col("target_tokens") / BLOCK).cast("long").alias("slot"), F.lit(0).cast("long").alias("rank"))
-    return ranked.select(*KEY, "slot", F.col("rank").cast("long").alias("rank")).unionByName(tail)
+    cuts = F.transform("cuts", lambda c: F.struct(c["high"].alias("high"), c["slice"].alias("slice"))).alias("cuts")
+    runs = plan.select("shard_id", cuts, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN).cast("long"))).alias("run"))
+    point = lambda k: (k + 0.5) * GOLDEN - F.floor((k + 0.5) * GOLDEN)
+    hit = lambda k: F.coalesce(F.element_at(F.filter("cuts", lambda c: point(k) < c["high"]), 1), F.element_at("cuts", -1))["slice"]
+    each = F.transform(F.sequence(F.col("run") * RUN, F.least(F.col("n") - 1, F.col("run") * RUN + RUN - 1)), lambda k: F.struct(k.alias("slot"), hit(k).alias("slice")))
+    # The runs of a large shard are spread before their slots are drawn, and counted where they were drawn.
+    drawn = runs.repartition("shard_id", "run").select("shard_id", "run", F.inline(each))
+    return drawn.groupBy("shard_id", "run", "slice").agg(F.sort_array(F.collect_list("slot")).alias("slots")).select("slice", "run", "slots")
+
+
+def _placed(runs: DataFrame, sized: DataFrame) -> DataFrame:
+    """(slice, rank, slot): every slot and its rank among its slice's, with one at the shard's end for a slice that drew none."""
+    w = Window.partitionBy("slice").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    before = runs.select("slice", "run", F.coalesce(F.sum(F.size("slots")).over(w), F.lit(0)).alias("before"))
+    ranked = runs.join(before, ["slice", "run"]).select("slice", "before", F.posexplode("slots").alias("at", "slot"))
+    tail = sized.where("demand_tokens > 0 AND drawn = 0").select("slice", F.lit(0).cast("long").alias("rank"), F.ceil(F.col("target_tokens") / BLOCK).cast("long").alias("slot"))
+    return ranked.select("slice", (F.col("before") + F.col("at")).alias("rank"), "slot").unionByName(tail)
 
 
 def schedule(slices: DataFrame, shards: DataFrame, docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """The demands, and (shard_id, slot, source, lang, doc_id, pass_num, from_token, n_tokens): what fills each slot.
+    """The demands, and (slice, shard_id, slot, source, lang, doc_id, pass_num, from_token, n_tokens): what fills each slot.
 
     from_token counts from the document's start; a document that reaches over a block's end goes on in its
-    slice's next slot.
+    slice's next slot. ``slice`` is the number of a slice in these demands. Slices and slots are each written
+    once, so that no plan holds the whole chain of joins: what the driver needs for a plan grows with its length.
     """
     wanted = checkpointed(demands(slices, shards, docs))
-    placed = checkpointed(slots(wanted))
-    count = placed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_slots"))
-    sized = wanted.alias("w").join(count.alias("c"), _same("w", "c", KEY)).select("w.*", "c.n_slots", (F.col("demand_tokens") / F.col("n_slots")).alias("block"))
+    runs = checkpointed(slots(wanted))
+    count = runs.groupBy("slice").agg(F.sum(F.size("slots")).alias("drawn"))
+    sized = checkpointed(wanted.join(count, "slice", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0))))
+    n_slots = F.greatest(F.col("drawn"), F.lit(1))
     shuffled = F.xxhash64(F.lit(seed), F.col("pass_num"), F.col("doc_id"))
+    fed = sized.where("passes > 0").select("slice", _key(), "demand_tokens", n_slots.alias("n_slots"), (F.col("demand_tokens") / n_slots).alias("block"), "passes")
     spread = (
-        docs.where("n_tokens > 0").alias("d").join(sized.where("passes > 0").alias("s"), _same("d", "s", KEY))
-        .select(*[F.col(f"s.{k}") for k in KEY], "d.doc_id", "d.n_tokens", "s.demand_tokens", "s.block", "s.n_slots", F.explode(F.sequence(F.lit(0), F.col("s.passes") - 1)).alias("pass_num"))
+        docs.where("n_tokens > 0").select(_key(), "doc_id", "n_tokens").join(fed, "key")
+        .select("slice", "key.*", "doc_id", "n_tokens", "demand_tokens", "block", "n_slots", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass_num"))
         .withColumn("__h", shuffled)
     )
     bucket = F.col("pass_num") * BUCKETS + F.shiftright("__h", 56) + 128
-    stream = prefix_sum(spread, KEY, [F.col("pass_num"), F.col("__h"), F.col("doc_id")], "n_tokens", "low", bucket).where(F.col("low") < F.floor(F.col("demand_tokens") + 1e-9))
+    stream = prefix_sum(spread, ["slice"], [F.col("pass_num"), F.col("__h"), F.col("doc_id")], "n_tokens", "low", bucket).where(F.col("low") < F.floor(F.col("demand_tokens") + 1e-9))
     high = F.least(F.col("low") + F.col("n_tokens"), F.floor(F.col("demand_tokens") + 1e-9))
     edge = lambda r: F.when(r >= F.col("n_slots"), F.lit(2.0**53)).otherwise(r * F.col("block"))
     last = F.col("n_slots") - 1
@@ -101,16 +112,15 @@ def schedule(slices: DataFrame, shards: DataFrame, docs: DataFrame, seed: int =
     )
     # A block starts at the first whole token that is not before its share of the stream.
     first, after = F.greatest(F.col("low"), F.ceil(edge(F.col("rank")))), F.least(F.col("high"), F.ceil(edge(F.col("rank") + 1)))
-    parts = cut.select(*KEY, "rank", "doc_id", "pass_num", (first - F.col("low")).cast("long").alias("from_token"), (after - first).cast("long").alias("n_tokens")).where("n_tokens > 0")
-    filled = parts.alias("p").join(placed.alias("q"), _same("p", "q", [*KEY, "rank"]))
-    return wanted, filled.select("p.shard_id", "q.slot", "p.source", "p.lang", "p.doc_id", "p.pass_num", "p.from_token", "p.n_tokens")
+    parts = cut.select("slice", *KEY, "rank", "doc_id", "pass_num", (first - F.col("low")).cast("long").alias("from_token"), (after - first).cast("long").alias("n_tokens")).where("n_tokens > 0")
+    filled = parts.join(_placed(runs, sized), ["slice", "rank"])
+    return sized, filled.select("slice", "shard_id", "slot", "source", "lang", "doc_id", "pass_num", "from_token", "n_tokens")
 
 
 def mix_report(wanted: DataFrame, filled: DataFrame) -> DataFrame:
     """Each slice with demand_tokens, available_tokens, reached_tokens, and reached_fraction of its shard's tokens."""
-    reached = filled.groupBy(*KEY).agg(F.sum("n_tokens").alias("reached_tokens"))
-    joined = wanted.alias("w").join(reached.alias("r"), _same("w", "r", KEY), "left")
-    rows = joined.select(*[F.col(f"w.{c}") for c in [*KEY, "target_weight", "demand_tokens", "available_tokens"]], F.coalesce("r.reached_tokens", F.lit(0)).alias("reached_tokens"))
+    reached = filled.groupBy("slice").agg(F.sum("n_tokens").alias("reached_tokens"))
+    rows = wanted.join(reached, "slice", "left").select(*KEY, "target_weight", "demand_tokens", "available_tokens", F.coalesce("reached_tokens", F.lit(0)).alias("reached_tokens"))
     whole = F.sum("reached_tokens").over(Window.partitionBy("shard_id"))
     return rows.withColumn("reached_fraction", F.when(whole > 0, F.col("reached_tokens") / whole).otherwise(0.0))
 

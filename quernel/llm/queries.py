@@ -89,7 +89,7 @@ def p5_mix_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1]
+    return _mix(spark, d)[1].drop("slice")
 
 
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:

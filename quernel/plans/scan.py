@@ -22,7 +22,9 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
     local = spread.withColumn("__local", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
     same = F.lit(True)
     for key in [*keys, "__b"]:
-        same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+        left, right = F.col(f"l.{key}"), F.col(f"r.{key}")
+        # A null-safe condition costs another shuffle, as it hides how the rows lie; it is for keys that can be null.
+        same = same & (left.eqNullSafe(right) if spread.schema[key].nullable else left == right)
     joined = local.alias("l").join(before.alias("r"), same, "left")
     return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l.__local") + F.coalesce(F.col("r.__before"), F.lit(0))).alias(out))
 
